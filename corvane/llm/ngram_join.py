@@ -19,6 +19,7 @@ least `percent` per cent. The search is exact:
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ from corvane.llm.shared import discard, materialise
 
 SKETCH_BITS = 17  # 2**17 counters, whatever the size of the input
 BLOCK_ROWS = 4096  # counters of one sketch row
+CACHE_BYTES = 64 << 20  # shingle sets that a verifying task keeps at hand
 PART = 2048  # members of a block handled together
 MERGE = 16  # tokens of this many documents share one block if they share their smallest node: near copies then meet once, not once a token
 FANOUT = 8
@@ -151,8 +153,8 @@ class Tree:
     (OR bitmap, least size, largest size, largest count of tokens beyond the bitmap's bits, component or None, children or member)."""
 
     def __init__(self, members: list[tuple[int, int, int, bytes]], width: int):
-        level = []
-        for m in sorted(members, key=lambda m: (m[2], m[1], m[0])):
+        level, often = [], Counter(m[1] for m in members)
+        for m in sorted(members, key=lambda m: (m[1] if often[m[1]] > 1 else 0, m[2], m[0])):
             bits = fold(m[3], width)
             level.append((bits, m[2], m[2], m[2] - bits.bit_count(), m[1], m))
         while len(level) > 1:
@@ -192,9 +194,13 @@ def joinable(x, y, percent: int) -> bool:
     return True
 
 
-def dual(x, y, percent: int) -> Iterator[tuple[int, int]]:
-    """Leaf pairs below x and y that may link; x is y stands for the pairs inside one tree."""
-    stack = [(x, y)]
+def dual(x, y, percent: int, few: int | None = None) -> Iterator[tuple[int, int]]:
+    """Leaf pairs below x and y that may link; x is y stands for the pairs inside one tree.
+
+    few: yield no more than so many pairs of each leaf. Only for the round that merges components
+    early; the round after it has no such limit.
+    """
+    stack, had = [(x, y)], Counter()
     while stack:
         x, y = stack.pop()
         if x is y:
@@ -204,6 +210,10 @@ def dual(x, y, percent: int) -> Iterator[tuple[int, int]]:
         elif joinable(x, y, percent):
             if isinstance(x[5], tuple) and isinstance(y[5], tuple):
                 a, b = x[5][0], y[5][0]
+                if few is not None:
+                    if had[a] >= few and had[b] >= few:
+                        continue
+                    had.update((a, b))
                 yield (a, b) if a < b else (b, a)
             elif isinstance(y[5], tuple) or (not isinstance(x[5], tuple) and x[2] - x[1] >= y[2] - y[1]):
                 stack += [(c, y) for c in x[5]]
@@ -211,7 +221,7 @@ def dual(x, y, percent: int) -> Iterator[tuple[int, int]]:
                 stack += [(x, c) for c in y[5]]
 
 
-def _traverse(percent: int):
+def _traverse(percent: int, few: int | None):
     """Rows sorted by (token, i, j): candidate pairs of each block part pair."""
 
     def block(rows, i, j):
@@ -221,7 +231,7 @@ def _traverse(percent: int):
             return
         width = 8 * min(len(r[3]) for r in left + right)
         a = Tree(left, width)
-        yield from dual(a.root, a.root if i == j else Tree(right, width).root, percent)
+        yield from dual(a.root, a.root if i == j else Tree(right, width).root, percent, few)
 
     def run(batches):
         key, rows = None, []
@@ -250,27 +260,31 @@ def _pair_batch(pairs):
 def _check(k: int, percent: int):
     """Keep the pairs whose whole shingle sets link."""
 
-    def sets_of(batch, name):
-        out, unzip = {}, zstandard.ZstdDecompressor()
-        for node, z in zip(batch.column(name).to_pylist(), batch.column("z" + name).to_pylist(), strict=True):
-            if node not in out:
-                raw = np.frombuffer(unzip.decompress(z), np.uint8)
-                out[node] = shingle_sets(raw, np.array([0, len(raw)]), k)[0]
-        return out
-
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sa, sb = sets_of(batch, "a"), sets_of(batch, "b")
+        unzip, sets, held = zstandard.ZstdDecompressor(), {}, 0
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("a", "b")]
+            zs = [batch.column(c) for c in ("za", "zb")]
+            for at in range(0, batch.num_rows, 4096):
                 found = []
-                for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                    x, y = (sa[a], sb[b]) if len(sa[a]) <= len(sb[b]) else (sb[b], sa[a])
+                for row in range(at, min(at + 4096, batch.num_rows)):
+                    both = []
+                    for nodes, z in zip(cols, zs, strict=True):
+                        s = sets.get(nodes[row])
+                        if s is None:
+                            raw = np.frombuffer(unzip.decompress(z[row].as_py()), np.uint8)
+                            s = shingle_sets(raw, np.array([0, len(raw)]), k)[0]
+                            if held > CACHE_BYTES:
+                                sets, held = {}, 0
+                            sets[nodes[row]] = s
+                            held += s.nbytes + 200
+                        both.append(s)
+                    x, y = sorted(both, key=len)
                     at_ = np.searchsorted(y, x)
                     at_[at_ == len(y)] = 0
                     i = int((y[at_] == x).sum())
                     if 100 * i >= percent * (len(x) + len(y) - i):
-                        found.append((a, b))
+                        found.append((cols[0][row], cols[1][row]))
                 yield from _pair_batch(found)
 
     return run
@@ -325,6 +339,21 @@ def verified(pairs: DataFrame, scan: DataFrame, k: int, percent: int) -> DataFra
             .mapInArrow(_check(k, percent), "a long, b long"))
 
 
+def _blocks(shared: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Members of the blocks that still hold several components, for each pair (i, j) of parts."""
+    known = shared.join(comp, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
+    mixed = (known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.min("node").alias("head"))
+             .filter("lo < hi").select("token", F.when(F.col("size") >= MERGE, F.col("head")).otherwise(F.col("token")).alias("block")))
+    near, whole = Window.partitionBy("block").orderBy("n", "node"), Window.partitionBy("block")
+    return (known.join(mixed, "token").select("block", "node", "n", "comp").distinct()
+            .withColumn("before", F.lag("n").over(near)).withColumn("after", F.lead("n").over(near))
+            .withColumn("parts", F.ceil(F.count("*").over(whole) / PART).cast("int"))
+            .filter(f"100 * before >= {percent} * n or 100 * n >= {percent} * after")
+            .withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select(F.col("block").alias("token"), "node", "n", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
@@ -355,31 +384,21 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                .filter("b < hi").drop("hi").join(members, "id").filter("node <> b").select(F.col("node").alias("a"), "b"))
     stars, stars_path = materialise(stars, "ngram-stars")
     links, links_path = materialise(verified(stars, scan, k, percent).union(same_id), "ngram-links")
-    comp, comp_path = materialise(components(links), "ngram-comp")
-
-    known = shared.join(comp, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
-    mixed = (known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.min("node").alias("head"))
-             .filter("lo < hi").select("token", F.when(F.col("size") >= MERGE, F.col("head")).otherwise(F.col("token")).alias("block")))
-    near, whole = Window.partitionBy("block").orderBy("n", "node"), Window.partitionBy("block")
-    rest = (known.join(mixed, "token").select("block", "node", "n", "comp").distinct()
-            .withColumn("before", F.lag("n").over(near)).withColumn("after", F.lead("n").over(near))
-            .withColumn("parts", F.ceil(F.count("*").over(whole) / PART).cast("int"))
-            .filter(f"100 * before >= {percent} * n or 100 * n >= {percent} * after")
-            .withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select(F.col("block").alias("token"), "node", "n", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
     bits = scan.filter("cell is null and bits is not null").select("node", "bits").groupBy("node").agg(F.first("bits").alias("bits"))
-    pairs, pairs_path = materialise(
-        rest.join(bits, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-        .mapInArrow(_traverse(percent), "a long, b long").distinct(), "ngram-pairs")
-    more, more_path = materialise(links.union(verified(pairs, scan, k, percent)), "ngram-links")
-    comp2 = components(more)
+    paths = [scan_path, shared_path, stars_path, links_path]
+    for few in (16, None):  # merge most of each large group first, then look at every pair left
+        comp, comp_path = materialise(components(links), "ngram-comp")
+        pairs, pairs_path = materialise(_blocks(shared, comp, percent).join(bits, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+                                        .mapInArrow(_traverse(percent, few), "a long, b long").distinct(), "ngram-pairs")
+        links, links_path = materialise(links.union(verified(pairs, scan, k, percent)), "ngram-links")
+        paths += [comp_path, pairs_path, links_path]
+    comp = components(links)
 
     # component labels are digests: the answer is each component's smallest document
-    named = (members.join(comp2, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("c")))
+    named = (members.join(comp, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("c")))
     named, _ = materialise(named, "ngram-named")
     least = named.filter("c is not null and id is not null").groupBy("c").agg(F.min("id").alias("least"))
-    for path in (scan_path, shared_path, stars_path, links_path, comp_path, pairs_path, more_path):
+    for path in paths:
         discard(spark, path)
     return named.join(least, "c", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
