@@ -11,9 +11,10 @@ least `percent` per cent. The search is exact:
 3. In each shingle's block every member is compared with the block's smallest node. This links
    large groups of near copies in linear work, without listing their pairs.
 4. Blocks that still hold several components are cut into parts of bounded size, and each pair of
-   parts builds signature trees: a leaf is a document's token bitmap and size, an inner node the OR
+   parts, large blocks first, builds signature trees: a leaf is a document's token bitmap and size, an inner node the OR
    of its children's bitmaps with their size range. A dual traversal drops pairs of nodes whose
-   largest possible overlap is too small. The leaf pairs left are verified on whole shingle sets.
+   largest possible overlap is too small. The leaf pairs left are verified on whole shingle sets,
+   in large blocks at once, so that a pair that is connected by then is never compared.
 5. Components come from star rounds over the verified links.
 """
 
@@ -35,8 +36,8 @@ from corvane.llm.shared import discard, materialise
 SKETCH_BITS = 17  # 2**17 counters, whatever the size of the input
 BLOCK_ROWS = 4096  # counters of one sketch row
 CACHE_BYTES = 64 << 20  # shingle sets that a verifying task keeps at hand
-PART = 2048  # members of a block handled together
-MERGE = 16  # tokens of this many documents share one block if they share their smallest node: near copies then meet once, not once a token
+PART = 512  # members of a block handled together
+LARGE = 16  # documents of a token from which its block is searched with the texts at hand
 FANOUT = 8
 MAX_BITMAP = 1 << 16
 
@@ -121,7 +122,11 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(k: int, percent: int, sketch: np.ndarray):
-    """(token, salt, node, n) rows of each node's prefix. Very frequent tokens get a salt from 1 on, others 0."""
+    """(token, salt, node, nc) rows of each node's prefix. Very frequent tokens get a salt from 1 on, others 0.
+
+    nc holds the size n and, in the low half, the largest partner size for which this token can be
+    the first common one: after position i at most n - i tokens are left to share.
+    """
     hot = max(16384, int(4 * sketch.mean()))
     order = sketch.astype(np.int64)
 
@@ -141,9 +146,10 @@ def _prefixes(k: int, percent: int, sketch: np.ndarray):
                 toks.append(s[o].view(np.int64))
                 salts.append(np.where(parts > 1, 1 + (node & 0x7FFFFFFF) % np.maximum(parts, 1), 0).astype(np.int32))
                 nodes.append(np.full(p, node, np.int64))
-                sizes.append(np.full(p, n, np.int32))
+                cap = (100 + percent) * (n - np.arange(p, dtype=np.int64)) // percent - n
+                sizes.append((n << 32) + np.maximum(cap, 0))
             if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, salts, nodes, sizes)], ["token", "salt", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, salts, nodes, sizes)], ["token", "salt", "node", "nc"])
 
     return run
 
@@ -194,13 +200,9 @@ def joinable(x, y, percent: int) -> bool:
     return True
 
 
-def dual(x, y, percent: int, few: int | None = None) -> Iterator[tuple[int, int]]:
-    """Leaf pairs below x and y that may link; x is y stands for the pairs inside one tree.
-
-    few: yield no more than so many pairs of each leaf. Only for the round that merges components
-    early; the round after it has no such limit.
-    """
-    stack, had = [(x, y)], Counter()
+def dual(x, y, percent: int) -> Iterator[tuple[int, int]]:
+    """Leaf pairs below x and y that may link; x is y stands for the pairs inside one tree."""
+    stack = [(x, y)]
     while stack:
         x, y = stack.pop()
         if x is y:
@@ -210,10 +212,6 @@ def dual(x, y, percent: int, few: int | None = None) -> Iterator[tuple[int, int]
         elif joinable(x, y, percent):
             if isinstance(x[5], tuple) and isinstance(y[5], tuple):
                 a, b = x[5][0], y[5][0]
-                if few is not None:
-                    if had[a] >= few and had[b] >= few:
-                        continue
-                    had.update((a, b))
                 yield (a, b) if a < b else (b, a)
             elif isinstance(y[5], tuple) or (not isinstance(x[5], tuple) and x[2] - x[1] >= y[2] - y[1]):
                 stack += [(c, y) for c in x[5]]
@@ -221,32 +219,85 @@ def dual(x, y, percent: int, few: int | None = None) -> Iterator[tuple[int, int]
                 stack += [(x, c) for c in y[5]]
 
 
-def _traverse(percent: int, few: int | None):
-    """Rows sorted by (token, i, j): candidate pairs of each block part pair."""
+def _part_pairs(batches, columns) -> Iterator[tuple[list, list | None]]:
+    """Rows sorted by (token, i, j) -> members of part i and of part j (None: the same part)."""
+    key, rows = None, []
+
+    def parts():
+        left = [r[1:] for r in rows if r[0] == key[1]]
+        right = [r[1:] for r in rows if r[0] == key[2]] if key[1] != key[2] else None
+        if left and (right or (right is None and len(left) > 1)):
+            yield left, right
 
-    def block(rows, i, j):
-        left = [r[1:] for r in rows if r[0] == i]
-        right = [r[1:] for r in rows if r[0] == j] if i != j else left
-        if not left or not right:
-            return
-        width = 8 * min(len(r[3]) for r in left + right)
-        a = Tree(left, width)
-        yield from dual(a.root, a.root if i == j else Tree(right, width).root, percent, few)
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("token", "i", "j", "part", "node", "comp", "n", *columns)]
+        for token, i, j, *row in zip(*cols, strict=True):
+            if (token, i, j) != key:
+                if len(rows) > 1:
+                    yield from parts()
+                key, rows = (token, i, j), []
+            rows.append(tuple(row))
+    if len(rows) > 1:
+        yield from parts()
+
+
+def _candidates(left, right, percent: int) -> Iterator[tuple[int, int]]:
+    width = 8 * min(len(r[3]) for r in [*left, *(right or ())])
+    a = Tree(left, width)
+    return dual(a.root, a.root if right is None else Tree(right, width).root, percent)
+
+
+def _traverse(percent: int):
+    """Candidate pairs of small blocks."""
 
     def run(batches):
-        key, rows = None, []
-        for batch in batches:
-            pairs: set[tuple[int, int]] = set()
-            cols = [batch.column(c).to_pylist() for c in ("token", "i", "j", "part", "node", "comp", "n", "bits")]
-            for token, i, j, part, node, comp, n, bits in zip(*cols, strict=True):
-                if (token, i, j) != key:
-                    if len(rows) > 1:
-                        pairs.update(block(rows, *key[1:]))
-                    key, rows = (token, i, j), []
-                rows.append((part, node, comp, n, bits))
-            yield from _pair_batch(pairs)
-        if len(rows) > 1:
-            yield from _pair_batch(set(block(rows, *key[1:])))
+        pairs: set[tuple[int, int]] = set()
+        for left, right in _part_pairs(batches, ["bits"]):
+            pairs.update(_candidates(left, right, percent))
+            if len(pairs) > 50_000:
+                yield from _pair_batch(pairs)
+                pairs = set()
+        yield from _pair_batch(pairs)
+
+    return run
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Do two sorted shingle sets reach the similarity?"""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    i = int((y[at] == x).sum())
+    return 100 * i >= percent * (len(x) + len(y) - i)
+
+
+def _span(k: int, percent: int):
+    """Verified links of large blocks that join components: whoever is connected already is not compared."""
+
+    def run(batches):
+        unzip = zstandard.ZstdDecompressor()
+        for left, right in _part_pairs(batches, ["z"]):
+            sets, up, found = {}, {}, []
+
+            def member(row):
+                node, comp, n, z = row
+                raw = np.frombuffer(unzip.decompress(z), np.uint8)
+                sets[node] = shingle_sets(raw, np.array([0, len(raw)]), k)[0]
+                up[node] = comp
+                return node, comp, n, bitmap_of(sets[node])
+
+            def root(x):
+                while up.setdefault(x, x) != x:
+                    up[x] = up.setdefault(up[x], up[x])
+                    x = up[x]
+                return x
+
+            for a, b in _candidates([member(r) for r in left], right and [member(r) for r in right], percent):
+                ra, rb = root(a), root(b)
+                if ra != rb and linked(sets[a], sets[b], percent):
+                    up[ra] = rb
+                    found.append((a, b))
+            yield from _pair_batch(found)
 
     return run
 
@@ -279,11 +330,7 @@ def _check(k: int, percent: int):
                             sets[nodes[row]] = s
                             held += s.nbytes + 200
                         both.append(s)
-                    x, y = sorted(both, key=len)
-                    at_ = np.searchsorted(y, x)
-                    at_[at_ == len(y)] = 0
-                    i = int((y[at_] == x).sum())
-                    if 100 * i >= percent * (len(x) + len(y) - i):
+                    if linked(*both, percent):
                         found.append((cols[0][row], cols[1][row]))
                 yield from _pair_batch(found)
 
@@ -339,14 +386,16 @@ def verified(pairs: DataFrame, scan: DataFrame, k: int, percent: int) -> DataFra
             .mapInArrow(_check(k, percent), "a long, b long"))
 
 
-def _blocks(shared: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def _blocks(shared: DataFrame, comp: DataFrame, percent: int, large: bool) -> DataFrame:
     """Members of the blocks that still hold several components, for each pair (i, j) of parts."""
     known = shared.join(comp, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
-    mixed = (known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.min("node").alias("head"))
-             .filter("lo < hi").select("token", F.when(F.col("size") >= MERGE, F.col("head")).otherwise(F.col("token")).alias("block")))
+    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.min("node").alias("head")).filter("lo < hi")
+    if large:  # tokens of near copies share one block, so its members meet once, not once a token
+        rows = known.join(mixed.filter(F.col("size") >= LARGE).select("token", "head"), "token").select(F.col("head").alias("block"), "node", "n", "comp").distinct()
+    else:
+        rows = known.join(mixed.filter(F.col("size") < LARGE).select("token"), "token").withColumnRenamed("token", "block")
     near, whole = Window.partitionBy("block").orderBy("n", "node"), Window.partitionBy("block")
-    return (known.join(mixed, "token").select("block", "node", "n", "comp").distinct()
-            .withColumn("before", F.lag("n").over(near)).withColumn("after", F.lead("n").over(near))
+    return (rows.withColumn("before", F.lag("n").over(near)).withColumn("after", F.lead("n").over(near))
             .withColumn("parts", F.ceil(F.count("*").over(whole) / PART).cast("int"))
             .filter(f"100 * before >= {percent} * n or 100 * n >= {percent} * after")
             .withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
@@ -354,6 +403,14 @@ def _blocks(shared: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
             .select(F.col("block").alias("token"), "node", "n", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
 
 
+def _with(rows: DataFrame, scan: DataFrame, column: str) -> DataFrame:
+    """Rows with each node's bitmap or text, sorted for _part_pairs."""
+    nodes = rows.select("node").distinct()
+    own = (scan.filter(F.col(column).isNotNull() & F.col("node").isNotNull()).select("node", F.col(column).alias("z"))
+           .mapInArrow(_through(_bloom(nodes)), "node long, z binary").groupBy("node").agg(F.first("z").alias(column)))
+    return rows.join(own, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
@@ -369,11 +426,14 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = scan.filter("cell is null").select("id", "node", "n")
     sketch = _sketch(scan)
 
-    rows = docs.select("text").mapInArrow(_prefixes(k, percent, sketch), "token long, salt int, node long, n int")
+    rows = docs.select("text").mapInArrow(_prefixes(k, percent, sketch), "token long, salt int, node long, nc long")
     w = Window.partitionBy("token", "salt")
+    by_size = w.orderBy("nc")
     shared, shared_path = materialise(
         rows.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w))
-        .filter("lo < hi or salt > 0").select("token", "node", "n"), "ngram-shared")
+        .withColumn("before", F.lag("nc").over(by_size)).withColumn("after", F.lead("nc").over(by_size))
+        .filter(f"salt > 0 or (lo < hi and (100 * (before >> 32) >= {percent} * (nc >> 32) or (after >> 32) <= (nc & 4294967295L)))")
+        .select("token", "node", F.expr("cast(nc >> 32 as int)").alias("n")), "ngram-shared")
 
     heads = shared.groupBy("token").agg(F.min("node").alias("b"))
     stars = (shared.join(heads, "token").filter("node <> b")
@@ -384,14 +444,18 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                .filter("b < hi").drop("hi").join(members, "id").filter("node <> b").select(F.col("node").alias("a"), "b"))
     stars, stars_path = materialise(stars, "ngram-stars")
     links, links_path = materialise(verified(stars, scan, k, percent).union(same_id), "ngram-links")
-    bits = scan.filter("cell is null and bits is not null").select("node", "bits").groupBy("node").agg(F.first("bits").alias("bits"))
     paths = [scan_path, shared_path, stars_path, links_path]
-    for few in (16, None):  # merge most of each large group first, then look at every pair left
+    for large in (True, False):
         comp, comp_path = materialise(components(links), "ngram-comp")
-        pairs, pairs_path = materialise(_blocks(shared, comp, percent).join(bits, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-                                        .mapInArrow(_traverse(percent, few), "a long, b long").distinct(), "ngram-pairs")
-        links, links_path = materialise(links.union(verified(pairs, scan, k, percent)), "ngram-links")
-        paths += [comp_path, pairs_path, links_path]
+        rows, rows_path = materialise(_blocks(shared, comp, percent, large), "ngram-rows")
+        if large:
+            more = _with(rows, scan, "z").mapInArrow(_span(k, percent), "a long, b long")
+        else:
+            pairs, pairs_path = materialise(_with(rows, scan, "bits").mapInArrow(_traverse(percent), "a long, b long").distinct(), "ngram-pairs")
+            paths.append(pairs_path)
+            more = verified(pairs, scan, k, percent)
+        links, links_path = materialise(links.union(more), "ngram-links")
+        paths += [comp_path, rows_path, links_path]
     comp = components(links)
 
     # component labels are digests: the answer is each component's smallest document
