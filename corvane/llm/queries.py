@@ -4,16 +4,63 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from corvane.llm.bpe import bpe_digests
 from corvane.llm.ngram_join import ngram_jaccard
+from corvane.llm.substring_dedup import remove_repeats
+from corvane.llm.topk import exact_topk
+from corvane.shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+QUERIES = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_bpe": op5_bpe,
+    "op9_exact_topk": op9_exact_topk,
+}
+ORACLES: dict[str, str] = {
+    "op9_exact_topk": """
+        WITH x AS (
+            SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM x q JOIN x c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 100 = 0
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+}

@@ -105,7 +105,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     qs = floor_vectors(queries, id_col, vec_col, scale)
     schema = "dim int, n int, ids binary, x binary"
     cand = xs.mapInArrow(_pack(block), schema)
-    asked = qs.repartition(1 + 0 * query_block).mapInArrow(_pack(query_block), schema) if False else qs.mapInArrow(_pack(query_block), schema)
+    asked = qs.mapInArrow(_pack(query_block), schema)
     asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
     pairs = cand.join(asked, "dim")
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
