@@ -56,6 +56,8 @@ _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_PUNCT = _SPACE.copy()  # everything in ASCII but letters and digits
+_PUNCT[:128] |= ~np.array([chr(c).isalnum() for c in range(128)])
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,13 +85,16 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+`: (hash, start byte, end byte, index of the first word of each document)."""
+def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+`: (hash, start byte, end byte, index of the first word of each document).
+
+    bare: ASCII punctuation separates words too.
+    """
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, _U), z, z, np.zeros(len(offs), np.int64)
-    word = ~_SPACE[data]
+    word = ~(_PUNCT if bare else _SPACE)[data]
     first = np.empty(n, bool)
     first[0] = True
     first[1:] = ~word[:-1]

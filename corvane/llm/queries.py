@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import bpe_digests
+from corvane.llm.decontaminate import contaminated
+from corvane.llm.html_extract import extract_text
 from corvane.llm.ngram_join import ngram_jaccard
+from corvane.llm.secrets import KINDS, scan_secrets, span_text
 from corvane.llm.substring_dedup import remove_repeats
 from corvane.llm.topk import exact_topk
+from corvane.llm.warc import capture_index, read_records, write_archives
 from corvane.shipping import ship
 
 
@@ -36,6 +40,29 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, folder = write_archives(table(spark, sf_dir, "pages"))
+    return read_records(capture_index(entries), folder).drop("payload", "url")
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(KINDS[:3]))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), count("guess"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return exact_topk(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
@@ -45,9 +72,23 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe": op5_bpe,
+    "op6_decontamination": op6_decontamination,
+    "op7_warc": op7_warc,
+    "op8_html_text": op8_html_text,
     "op9_exact_topk": op9_exact_topk,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (
+            SELECT coalesce(page_id, 0) AS page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+        ), g AS (
+            SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p
+        )
+        SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to
+        FROM g""",
     "op9_exact_topk": """
         WITH x AS (
             SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS v
