@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
-KEPT_WORDS = 400_000  # words whose encoding a task remembers; then it starts anew
+KEPT_WORDS = 600_000  # words whose encoding a task remembers; then it starts anew
 
 
 def byte_letters() -> list[str]:
@@ -69,16 +69,24 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.letters = byte_letters()
-        self.longest = max(len(t.removesuffix(END)) for t in self.ids)
+        self.backward: dict = {"": {}, END: {}}  # tokens spelled from their last letter; key 0 holds the token itself
+        for t in self.ids:
+            end = END if t.endswith(END) and len(t) > len(END) else ""
+            node = self.backward[end]
+            for c in reversed(t.removesuffix(end)):
+                node = node.setdefault(c, {})
+            node[0] = t
+        self.id_of = {t: str(i) for t, i in self.ids.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}  # does the second token stay apart from the first?
         self.split: dict[str, tuple[str, str] | None] = {}  # last merge of a token; absent: not looked at yet
         self.reset()
 
     def reset(self) -> None:
         self.id_text: dict[str, str] = {}  # of words without white space, as they stand in the text
         self.token_text: dict[str, str] = {}
-        self.learnt: dict[str, list[str]] = {}  # of normalised words
+        self.learnt: dict[str, tuple[str, str]] = {}  # ids and tokens of normalised words
+        self.blank: set[str] = set()  # pieces that have no token
 
     @staticmethod
     def symbols(token: str) -> list[str]:
@@ -133,7 +141,7 @@ class WordBpe:
 
     def learn(self, words: list[str]) -> None:
         """Encode distinct words in one depth-first walk over their trie."""
-        ids, letters, split, alone, pairs, apart, longest = self.ids, self.letters, self.split, self.alone, self.pairs, self.apart, self.longest
+        letters, middle, final, pairs, id_of = self.letters, self.backward[""], self.backward[END], self.pairs, self.id_of
         spelled = sorted(("".join([letters[b] for b in w.encode("utf-8", "surrogatepass")]), w) for w in words)
         before, last = "", [""]
         for word, plain in spelled:
@@ -143,17 +151,23 @@ class WordBpe:
                 shared += 1
             del last[shared + 1 :]
             for depth in range(shared + 1, size + 1):
-                end = END if depth == size else ""
-                for start in range(depth - longest if depth > longest else 0, depth):  # the longest candidate first
-                    token = word[start:depth] + end
-                    if token not in ids or not (split[token] if token in split else alone(token)):
-                        continue
-                    if not start:
+                node, start, tokens = final if depth == size else middle, depth, []
+                while start:
+                    start -= 1
+                    node = node.get(word[start])
+                    if node is None:
                         break
-                    pair = (last[start], token)
-                    fits = pairs.get(pair)
+                    token = node.get(0)
+                    if token is not None:
+                        tokens.append((start, token))
+                for start, token in reversed(tokens):  # the longest candidate first
+                    left = last[start]
+                    known = pairs.get(left)
+                    if known is None:
+                        known = pairs[left] = {}
+                    fits = known.get(token)
                     if fits is None:
-                        fits = pairs[pair] = apart(*pair)
+                        fits = known[token] = self.alone(token) and (not left or self.apart(left, token))
                     if fits:
                         break
                 else:
@@ -166,7 +180,7 @@ class WordBpe:
             found.reverse()
             before = word[:-1]
             del last[size:]
-            self.learnt[plain] = found
+            self.learnt[plain] = " ".join([id_of[t] for t in found]), " ".join(found)
 
     def normalised(self, word: str) -> list[str]:
         """The words that the file's normaliser and splitter make of a text without white space."""
@@ -189,11 +203,19 @@ class WordBpe:
         parts = {w: self.normalised(w) for w in new if w not in self.special}
         self.learn([w for w in set().union(*parts.values()) if w not in self.learnt])
         for w in new:
-            found = [t for x in parts[w] for t in self.learnt[x]] if w in parts else [w]
-            self.id_text[w] = " ".join([str(self.ids[t] if w in parts else self.special[t]) for t in found])
-            self.token_text[w] = " ".join(found)
+            words = parts.get(w)
+            if words is None:
+                self.id_text[w], self.token_text[w] = str(self.special[w]), w
+            elif len(words) == 1:
+                self.id_text[w], self.token_text[w] = self.learnt[words[0]]
+            elif words:
+                self.id_text[w] = " ".join([self.learnt[x][0] for x in words])
+                self.token_text[w] = " ".join([self.learnt[x][1] for x in words])
+            else:
+                self.id_text[w] = self.token_text[w] = ""
+                self.blank.add(w)
         for ws in split:
-            yield [w for w in ws if self.id_text[w]]
+            yield [w for w in ws if w not in self.blank] if self.blank else ws
 
 
 @lru_cache(maxsize=2)
