@@ -10,6 +10,7 @@ prefix with the word before is the shared path, whose states are kept and comput
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -214,6 +215,7 @@ class WordBpe:
             else:
                 self.id_text[w] = self.token_text[w] = ""
                 self.blank.add(w)
+        gc.freeze()  # what was just learnt stays: the collector need not walk it again
         for ws in split:
             yield [w for w in ws if w not in self.blank] if self.blank else ws
 

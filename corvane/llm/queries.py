@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from corvane.llm import quality
 from corvane.llm.bpe import bpe_digests
+from corvane.llm.chat_format import SCHEMA_COLUMNS, link_calls
 from corvane.llm.decontaminate import contaminated
 from corvane.llm.html_extract import extract_text
 from corvane.llm.ngram_join import ngram_jaccard
@@ -28,6 +30,23 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn is a call of the tool `reply`, and the assistant turn after it is its result."""
+    rows = table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
+    arguments = F.to_json(F.struct("turn", F.col("text").alias("prompt")))
+    calls = rows.filter("role = 'user'").select("conv_id", "turn", F.lit(0).alias("pos"), name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"))
+    results = rows.filter("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.to_json(F.struct("text")).alias("content"))
+    params = [("prompt", "string", True), ("turn", "integer", True)]
+    return link_calls(calls, results, spark.createDataFrame([("reply", params)], SCHEMA_COLUMNS))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
 
@@ -69,6 +88,8 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op3_tool_call_linking": op3_tool_call_linking,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe": op5_bpe,
@@ -79,6 +100,25 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {
+    "op3_tool_call_linking": """
+        WITH calls AS (
+            SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, min(text) AS text
+            FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+        ), results AS (
+            SELECT conv_id, turn, 'c' || conv_id || '-' || (turn - 1) AS call_id, min(text) AS text
+            FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+        )
+        SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn,
+               CASE WHEN c.call_id IS NOT NULL THEN 'call' ELSE 'result' END AS kind,
+               CASE WHEN c.call_id IS NOT NULL THEN 0 END AS level,
+               c.call_id IS NOT NULL AND r.call_id IS NOT NULL AS linked,
+               CASE WHEN c.call_id IS NULL THEN 'no call' WHEN c.text IS NULL THEN 'missing:prompt' ELSE '' END AS complaint,
+               '{"arguments":' || CASE WHEN c.call_id IS NULL THEN 'null' WHEN c.text IS NULL THEN '{"turn":' || c.turn || '}'
+                                       ELSE '{"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '}' END
+               || ',"id":"' || coalesce(c.call_id, r.call_id) || '","name":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE '"reply"' END
+               || ',"result":' || CASE WHEN r.call_id IS NULL THEN 'null' WHEN r.text IS NULL THEN '{}'
+                                       ELSE '{"text":' || CAST(to_json(r.text) AS VARCHAR) || '}' END || '}' AS json
+        FROM calls c FULL JOIN results r USING (conv_id, call_id)""",
     "op7_warc": """
         WITH p AS (
             SELECT coalesce(page_id, 0) AS page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
