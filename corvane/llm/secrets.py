@@ -141,6 +141,20 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("id", id_col)
 
 
+def mask_secrets(docs: DataFrame, text_col: str = "text", threshold: float = 8.0, mask: str = "[SECRET]") -> DataFrame:
+    """docs with every secret value in the text replaced by the mask; all other columns and rows as they were."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                texts = [redact(t, s, mask) if t and (s := find_secrets(t, threshold)) else t for t in batch.column(text_col).to_pylist()]
+                place = batch.schema.get_field_index(text_col)
+                yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def span_text(spans) -> object:
     """kind:start:end joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
