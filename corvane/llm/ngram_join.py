@@ -5,16 +5,19 @@ least `percent` per cent. The search is exact:
 
 1. One pass hashes every text to its shingle set. Equal sets share a digest, the node of the graph,
    so copies never meet each other. The pass also sums a fixed-size count sketch of all shingles.
-2. Every node lists its prefix: the |x| - ceil(t |x|) + 1 shingles that are rarest by the sketch
-   (ties by hash). The order is the same for all documents, hence linked nodes share a prefix
-   shingle, whatever the sketch's errors. Shingles of one node only drop out.
-3. In each shingle's block every member is compared with the block's smallest node. This links
-   large groups of near copies in linear work, without listing their pairs.
-4. Blocks that still hold several components are cut into parts of bounded size, and each pair of
-   parts, large blocks first, builds signature trees: a leaf is a document's token bitmap and size, an inner node the OR
-   of its children's bitmaps with their size range. A dual traversal drops pairs of nodes whose
+2. Every node lists its prefix: the |x| - ceil(t |x|) + SHARED shingles that are rarest by the sketch
+   (ties by hash). The order is the same for all documents, hence linked nodes share at least
+   SHARED shingles of their prefixes, whatever the sketch's errors. Each shingle's position bounds
+   the sizes of partners for which it can be one of the first shared ones.
+3. Shingles of few documents give pairs; pairs that share SHARED of them form blocks. Shingles of
+   many documents are blocks themselves, merged where they have the same smallest member. There,
+   each member is first compared with that smallest one, which links large groups of near copies
+   in linear work.
+4. Blocks that hold several components are cut into parts of bounded size, and each pair of parts
+   builds signature trees: a leaf is a document's token bitmap and size, an inner node the OR of
+   its children's bitmaps with their size range. A dual traversal drops pairs of tree nodes whose
    largest possible overlap is too small. The leaf pairs left are verified on whole shingle sets,
-   in large blocks at once, so that a pair that is connected by then is never compared.
+   unless they are connected by then.
 5. Components come from star rounds over the verified links.
 """
 
@@ -37,7 +40,8 @@ SKETCH_BITS = 17  # 2**17 counters, whatever the size of the input
 BLOCK_ROWS = 4096  # counters of one sketch row
 CACHE_BYTES = 64 << 20  # shingle sets that a verifying task keeps at hand
 PART = 512  # members of a block handled together
-LARGE = 16  # documents of a token from which its block is searched with the texts at hand
+SHARED = 3  # prefix shingles that linked documents must share
+LARGE = 16  # documents from which a shingle's block is searched as a whole, not by pairs
 FANOUT = 8
 MAX_BITMAP = 1 << 16
 
@@ -72,7 +76,7 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, byte
 
 
 def _scan(k: int):
-    """Rows of documents (id, node, n, bitmap and compressed text at the node's first row here) and of the sketch."""
+    """Rows of documents (id, node, n, and the compressed text at the node's first row here) and of the sketch (cell, bits)."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -89,7 +93,7 @@ def _scan(k: int):
                     if fresh:
                         seen.add(node)
                         np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                for x, v in zip(out, (None, ids[i], node, len(s), bitmap_of(s) if fresh else None, zip_.compress(text.tobytes()) if fresh else None), strict=True):
+                for x, v in zip(out, (None, ids[i], node, len(s), None, zip_.compress(text.tobytes()) if fresh else None), strict=True):
                     out[x].append(v)
             yield pa.RecordBatch.from_pydict(out, _SCAN_SCHEMA)
         rows = counts.reshape(-1, BLOCK_ROWS)
@@ -125,7 +129,7 @@ def _prefixes(k: int, percent: int, sketch: np.ndarray):
     """(token, salt, node, nc) rows of each node's prefix. Very frequent tokens get a salt from 1 on, others 0.
 
     nc holds the size n and, in the low half, the largest partner size for which this token can be
-    the first common one: after position i at most n - i tokens are left to share.
+    one of the first SHARED common ones: from position i on at most n - i tokens are left to share.
     """
     hot = max(16384, int(4 * sketch.mean()))
     order = sketch.astype(np.int64)
@@ -140,13 +144,15 @@ def _prefixes(k: int, percent: int, sketch: np.ndarray):
                     continue
                 seen.add(node)
                 seen_in = order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                p = n - -(-percent * n // 100) + 1
+                least = -(-percent * n // 100)
+                slack = min(SHARED, least) - 1
+                p = n - least + slack + 1
                 o = np.argsort(seen_in, kind="stable")[:p]  # s is sorted, so ties go by hash
                 parts = seen_in[o] // hot
                 toks.append(s[o].view(np.int64))
                 salts.append(np.where(parts > 1, 1 + (node & 0x7FFFFFFF) % np.maximum(parts, 1), 0).astype(np.int32))
                 nodes.append(np.full(p, node, np.int64))
-                cap = (100 + percent) * (n - np.arange(p, dtype=np.int64)) // percent - n
+                cap = (100 + percent) * (n - np.arange(p, dtype=np.int64) + SHARED - 1) // percent - n
                 sizes.append((n << 32) + np.maximum(cap, 0))
             if toks:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, salts, nodes, sizes)], ["token", "salt", "node", "nc"])
@@ -219,8 +225,8 @@ def dual(x, y, percent: int) -> Iterator[tuple[int, int]]:
                 stack += [(x, c) for c in y[5]]
 
 
-def _part_pairs(batches, columns) -> Iterator[tuple[list, list | None]]:
-    """Rows sorted by (token, i, j) -> members of part i and of part j (None: the same part)."""
+def _part_pairs(batches) -> Iterator[tuple[list, list | None]]:
+    """Rows sorted by (block, i, j) -> members of part i and of part j (None: the same part)."""
     key, rows = None, []
 
     def parts():
@@ -230,12 +236,12 @@ def _part_pairs(batches, columns) -> Iterator[tuple[list, list | None]]:
             yield left, right
 
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("token", "i", "j", "part", "node", "comp", "n", *columns)]
-        for token, i, j, *row in zip(*cols, strict=True):
-            if (token, i, j) != key:
+        cols = [batch.column(c).to_pylist() for c in ("block", "i", "j", "part", "node", "comp", "n", "z")]
+        for block, i, j, *row in zip(*cols, strict=True):
+            if (block, i, j) != key:
                 if len(rows) > 1:
                     yield from parts()
-                key, rows = (token, i, j), []
+                key, rows = (block, i, j), []
             rows.append(tuple(row))
     if len(rows) > 1:
         yield from parts()
@@ -247,21 +253,6 @@ def _candidates(left, right, percent: int) -> Iterator[tuple[int, int]]:
     return dual(a.root, a.root if right is None else Tree(right, width).root, percent)
 
 
-def _traverse(percent: int):
-    """Candidate pairs of small blocks."""
-
-    def run(batches):
-        pairs: set[tuple[int, int]] = set()
-        for left, right in _part_pairs(batches, ["bits"]):
-            pairs.update(_candidates(left, right, percent))
-            if len(pairs) > 50_000:
-                yield from _pair_batch(pairs)
-                pairs = set()
-        yield from _pair_batch(pairs)
-
-    return run
-
-
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Do two sorted shingle sets reach the similarity?"""
     x, y = (x, y) if len(x) <= len(y) else (y, x)
@@ -272,11 +263,11 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _span(k: int, percent: int):
-    """Verified links of large blocks that join components: whoever is connected already is not compared."""
+    """Verified links between components of each block: whoever is connected already is not compared."""
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
-        for left, right in _part_pairs(batches, ["z"]):
+        for left, right in _part_pairs(batches):
             sets, up, found = {}, {}, []
 
             def member(row):
@@ -379,36 +370,38 @@ def _through(bloom: np.ndarray):
 
 def verified(pairs: DataFrame, scan: DataFrame, k: int, percent: int) -> DataFrame:
     """The (a, b) pairs of nodes whose sets link, each checked on the whole sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = (scan.filter("z is not null").select("node", "z").mapInArrow(_through(_bloom(nodes)), "node long, z binary")
-             .groupBy("node").agg(F.first("z").alias("z")))
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), scan)
     return (pairs.join(texts.toDF("a", "za"), "a").join(texts.toDF("b", "zb"), "b")
             .mapInArrow(_check(k, percent), "a long, b long"))
 
 
-def _blocks(shared: DataFrame, comp: DataFrame, percent: int, large: bool) -> DataFrame:
-    """Members of the blocks that still hold several components, for each pair (i, j) of parts."""
-    known = shared.join(comp, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
-    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.min("node").alias("head")).filter("lo < hi")
-    if large:  # tokens of near copies share one block, so its members meet once, not once a token
-        rows = known.join(mixed.filter(F.col("size") >= LARGE).select("token", "head"), "token").select(F.col("head").alias("block"), "node", "n", "comp").distinct()
-    else:
-        rows = known.join(mixed.filter(F.col("size") < LARGE).select("token"), "token").withColumnRenamed("token", "block")
-    near, whole = Window.partitionBy("block").orderBy("n", "node"), Window.partitionBy("block")
-    return (rows.withColumn("before", F.lag("n").over(near)).withColumn("after", F.lead("n").over(near))
-            .withColumn("parts", F.ceil(F.count("*").over(whole) / PART).cast("int"))
-            .filter(f"100 * before >= {percent} * n or 100 * n >= {percent} * after")
-            .withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select(F.col("block").alias("token"), "node", "n", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
-
+def _part_rows(rows: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(block, node) rows -> members of the blocks that hold several components, for each pair (i, j) of parts to search.
 
-def _with(rows: DataFrame, scan: DataFrame, column: str) -> DataFrame:
-    """Rows with each node's bitmap or text, sorted for _part_pairs."""
-    nodes = rows.select("node").distinct()
-    own = (scan.filter(F.col(column).isNotNull() & F.col("node").isNotNull()).select("node", F.col(column).alias("z"))
-           .mapInArrow(_through(_bloom(nodes)), "node long, z binary").groupBy("node").agg(F.first("z").alias(column)))
-    return rows.join(own, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    A component with more than PART members in a block has parts of its own, and two parts of one
+    component are never paired: what is connected costs nothing more, however large it is.
+    """
+    near, whole, own = Window.partitionBy("block").orderBy("n", "node"), Window.partitionBy("block"), Window.partitionBy("block", "comp")
+    member = (rows.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+              .withColumn("lo", F.min("comp").over(whole)).withColumn("hi", F.max("comp").over(whole)).filter("lo < hi")
+              .withColumn("before", F.lag("n").over(near)).withColumn("after", F.lead("n").over(near))
+              .filter(f"100 * before >= {percent} * n or 100 * n >= {percent} * after")
+              .withColumn("own", F.count("*").over(own)).withColumn("mixed", F.count_if(F.col("own") < PART).over(whole))
+              .withColumn("home", F.when(F.col("own") >= PART, F.col("comp")))
+              .withColumn("part", F.concat_ws("/", F.coalesce(F.col("home").cast("string"), F.lit("-")),
+                                              F.pmod(F.xxhash64("node"), F.ceil(F.when(F.col("home").isNull(), F.col("mixed")).otherwise(F.col("own")) / PART))))
+              .select("block", "node", "n", "comp", "home", "part"))
+    parts = member.select("block", "part", "home").distinct()
+    other = parts.select("block", F.col("part").alias("j"), F.col("home").alias("other"))
+    pairs = (parts.withColumnRenamed("part", "i").join(other, "block").filter("i <= j and not coalesce(home = other, false)")
+             .select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part")))
+    return member.join(pairs, ["block", "part"]).select("block", "i", "j", "part", "node", "comp", "n")
+
+
+def _texts(nodes: DataFrame, scan: DataFrame) -> DataFrame:
+    """(node, z) of these nodes, once each."""
+    return (scan.filter("z is not null").select("node", "z").mapInArrow(_through(_bloom(nodes)), "node long, z binary")
+            .groupBy("node").agg(F.first("z").alias("z")))
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -428,34 +421,40 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = docs.select("text").mapInArrow(_prefixes(k, percent, sketch), "token long, salt int, node long, nc long")
     w = Window.partitionBy("token", "salt")
-    by_size = w.orderBy("nc")
+    following = w.orderBy("nc").rowsBetween(1, LARGE)
+    n, cap = (lambda nc: F.shiftright(nc, 32)), (lambda nc: nc.bitwiseAND(F.lit((1 << 32) - 1)))
+
+    def fits(nc):  # sizes that may link, and each within the other's bound
+        return lambda x: (100 * n(nc) >= percent * n(x["nc"])) & (n(x["nc"]) <= cap(nc)) & (n(nc) <= cap(x["nc"])) & (x["node"] != F.col("node"))
+
+    few = (F.col("size") < LARGE) & (F.col("salt") == 0)
     shared, shared_path = materialise(
-        rows.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w))
-        .withColumn("before", F.lag("nc").over(by_size)).withColumn("after", F.lead("nc").over(by_size))
-        .filter(f"salt > 0 or (lo < hi and (100 * (before >> 32) >= {percent} * (nc >> 32) or (after >> 32) <= (nc & 4294967295L)))")
-        .select("token", "node", F.expr("cast(nc >> 32 as int)").alias("n")), "ngram-shared")
-
-    heads = shared.groupBy("token").agg(F.min("node").alias("b"))
-    stars = (shared.join(heads, "token").filter("node <> b")
-             .groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-             .filter("c >= 3 or n <= 12")
-             .groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", "best.b"))
+        rows.withColumn("size", F.count("*").over(w)).withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).filter("lo < hi or salt > 0")
+        .withColumn("next", F.collect_list(F.struct("node", "nc")).over(following))
+        .withColumn("next", F.when(few, F.filter("next", fits(F.col("nc")))))
+        .filter("next is null or size(next) > 0")
+        .select(F.when(F.col("next").isNull(), F.col("token")).alias("token"), "node", n(F.col("nc")).cast("int").alias("n"),
+                F.transform("next", lambda x: F.struct(x["node"].alias("node"), n(x["nc"]).cast("int").alias("n"))).alias("next")), "ngram-shared")
+
+    pairs = (shared.filter("token is null").select("node", "n", F.explode("next").alias("x"))
+             .select(F.least("node", "x.node").alias("block"), F.greatest("node", "x.node").alias("other"), F.least("n", "x.n").alias("least"), F.greatest("n", "x.n").alias("most"), (F.col("node") < F.col("x.node")).alias("up"), "n", F.col("x.n").alias("m"))
+             .groupBy("block", "other").agg(F.count("*").alias("c"), F.first("least").alias("least"), F.first(F.when(F.col("up"), F.col("n")).otherwise(F.col("m"))).alias("n"), F.first(F.when(F.col("up"), F.col("m")).otherwise(F.col("n"))).alias("m"))
+             .filter(f"c >= least({SHARED}, cast(ceil({percent} * least / 100) as int))"))
+    paired = pairs.select("block", F.explode(F.array(F.struct(F.col("block").alias("node"), "n"), F.struct(F.col("other").alias("node"), F.col("m").alias("n")))).alias("x")).select("block", "x.node", "x.n")
+    large = shared.filter("token is not null").drop("next")
+    merged = large.join(large.groupBy("token").agg(F.min("node").alias("block")), "token")
+    stars = (merged.filter("node <> block").groupBy("node", "block").agg(F.count("*").alias("c"))
+             .groupBy("node").agg(F.max(F.struct("c", "block")).alias("best")).select(F.col("node").alias("a"), F.col("best.block").alias("b")))
     same_id = (members.filter("node is not null and id is not null").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("hi"))
                .filter("b < hi").drop("hi").join(members, "id").filter("node <> b").select(F.col("node").alias("a"), "b"))
     stars, stars_path = materialise(stars, "ngram-stars")
     links, links_path = materialise(verified(stars, scan, k, percent).union(same_id), "ngram-links")
-    paths = [scan_path, shared_path, stars_path, links_path]
-    for large in (True, False):
-        comp, comp_path = materialise(components(links), "ngram-comp")
-        rows, rows_path = materialise(_blocks(shared, comp, percent, large), "ngram-rows")
-        if large:
-            more = _with(rows, scan, "z").mapInArrow(_span(k, percent), "a long, b long")
-        else:
-            pairs, pairs_path = materialise(_with(rows, scan, "bits").mapInArrow(_traverse(percent), "a long, b long").distinct(), "ngram-pairs")
-            paths.append(pairs_path)
-            more = verified(pairs, scan, k, percent)
-        links, links_path = materialise(links.union(more), "ngram-links")
-        paths += [comp_path, rows_path, links_path]
+    comp, comp_path = materialise(components(links), "ngram-comp")
+    parts, parts_path = materialise(_part_rows(paired.union(merged.select("block", "node", "n")).distinct(), comp, percent), "ngram-parts")
+    spans = (parts.join(_texts(parts.select("node").distinct(), scan), "node").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+             .mapInArrow(_span(k, percent), "a long, b long"))
+    links, more_path = materialise(links.union(spans), "ngram-links")
+    paths = [scan_path, shared_path, stars_path, links_path, comp_path, parts_path, more_path]
     comp = components(links)
 
     # component labels are digests: the answer is each component's smallest document
