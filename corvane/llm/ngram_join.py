@@ -10,11 +10,11 @@ least `percent` per cent. The search is exact:
    SHARED shingles of their prefixes, whatever the sketch's errors. Each shingle's position bounds
    the sizes of partners for which it can be one of the first shared ones.
 3. Shingles of few documents give pairs; pairs that share SHARED of them form blocks. Shingles of
-   many documents are blocks themselves, merged where they have the same smallest member. There,
-   each member is first compared with that smallest one, which links large groups of near copies
-   in linear work.
-4. Blocks that hold several components are cut into parts of bounded size, and each pair of parts
-   builds signature trees: a leaf is a document's token bitmap and size, an inner node the OR of
+   many documents are blocks themselves, merged where they have the same smallest member.
+4. Blocks that hold several components are cut into parts of bounded size: first each part is
+   searched by itself, then some members of each component found so far, at last all pairs of parts
+   that may still join components. So a large group of near copies is linked in linear work, and
+   only what stands outside it is compared with all of it. A search builds signature trees: a leaf is a document's token bitmap and size, an inner node the OR of
    its children's bitmaps with their size range. A dual traversal drops pairs of tree nodes whose
    largest possible overlap is too small. The leaf pairs left are verified on whole shingle sets,
    unless they are connected by then.
@@ -38,7 +38,7 @@ from corvane.llm.shared import discard, materialise
 
 SKETCH_BITS = 17  # 2**17 counters, whatever the size of the input
 BLOCK_ROWS = 4096  # counters of one sketch row
-CACHE_BYTES = 64 << 20  # shingle sets that a verifying task keeps at hand
+BRIDGE = 16  # members of a component that look for links between parts
 PART = 512  # members of a block handled together
 SHARED = 3  # prefix shingles that linked documents must share
 LARGE = 16  # documents from which a shingle's block is searched as a whole, not by pairs
@@ -299,35 +299,6 @@ def _pair_batch(pairs):
         yield pa.RecordBatch.from_pydict({"a": a, "b": b}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _check(k: int, percent: int):
-    """Keep the pairs whose whole shingle sets link."""
-
-    def run(batches):
-        unzip, sets, held = zstandard.ZstdDecompressor(), {}, 0
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("a", "b")]
-            zs = [batch.column(c) for c in ("za", "zb")]
-            for at in range(0, batch.num_rows, 4096):
-                found = []
-                for row in range(at, min(at + 4096, batch.num_rows)):
-                    both = []
-                    for nodes, z in zip(cols, zs, strict=True):
-                        s = sets.get(nodes[row])
-                        if s is None:
-                            raw = np.frombuffer(unzip.decompress(z[row].as_py()), np.uint8)
-                            s = shingle_sets(raw, np.array([0, len(raw)]), k)[0]
-                            if held > CACHE_BYTES:
-                                sets, held = {}, 0
-                            sets[nodes[row]] = s
-                            held += s.nbytes + 200
-                        both.append(s)
-                    if linked(*both, percent):
-                        found.append((cols[0][row], cols[1][row]))
-                yield from _pair_batch(found)
-
-    return run
-
-
 def _bloom(nodes: DataFrame) -> np.ndarray:
     """A bitmap of fixed size over node digests; only saves shuffle, the joins after it decide."""
 
@@ -368,25 +339,25 @@ def _through(bloom: np.ndarray):
     return run
 
 
-def verified(pairs: DataFrame, scan: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) pairs of nodes whose sets link, each checked on the whole sets."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), scan)
-    return (pairs.join(texts.toDF("a", "za"), "a").join(texts.toDF("b", "zb"), "b")
-            .mapInArrow(_check(k, percent), "a long, b long"))
-
-
-def _part_rows(rows: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def _part_rows(rows: DataFrame, comp: DataFrame, percent: int, mode: str) -> DataFrame:
     """(block, node) rows -> members of the blocks that hold several components, for each pair (i, j) of parts to search.
 
-    A component with more than PART members in a block has parts of its own, and two parts of one
-    component are never paired: what is connected costs nothing more, however large it is.
+    own: every part by itself, so each member comes once; blocks of one part are done then. few: BRIDGE members of each component, to
+    join what lies in different parts. all: every pair of parts. There, a component with more than
+    PART members in a block has parts of its own, and two parts of one component are never paired:
+    what is connected by then costs nothing more, however large it is.
     """
     near, whole, own = Window.partitionBy("block").orderBy("n", "node"), Window.partitionBy("block"), Window.partitionBy("block", "comp")
-    member = (rows.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    member = (rows.filter(F.col("parts") > (0 if mode == "own" else 1)).join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
               .withColumn("lo", F.min("comp").over(whole)).withColumn("hi", F.max("comp").over(whole)).filter("lo < hi")
               .withColumn("before", F.lag("n").over(near)).withColumn("after", F.lead("n").over(near))
-              .filter(f"100 * before >= {percent} * n or 100 * n >= {percent} * after")
-              .withColumn("own", F.count("*").over(own)).withColumn("mixed", F.count_if(F.col("own") < PART).over(whole))
+              .filter(f"100 * before >= {percent} * n or 100 * n >= {percent} * after"))
+    if mode == "few":
+        member = member.withColumn("pick", F.row_number().over(own.orderBy(F.xxhash64("node")))).filter(F.col("pick") <= BRIDGE)
+    if mode != "all":
+        part = F.pmod(F.xxhash64("node"), F.col("parts") if mode == "own" else F.ceil(F.count("*").over(whole) / PART)).cast("string")
+        return member.withColumn("part", part).select("block", F.col("part").alias("i"), F.col("part").alias("j"), "part", "node", "comp", "n")
+    member = (member.withColumn("own", F.count("*").over(own)).withColumn("mixed", F.count_if(F.col("own") < PART).over(whole))
               .withColumn("home", F.when(F.col("own") >= PART, F.col("comp")))
               .withColumn("part", F.concat_ws("/", F.coalesce(F.col("home").cast("string"), F.lit("-")),
                                               F.pmod(F.xxhash64("node"), F.ceil(F.when(F.col("home").isNull(), F.col("mixed")).otherwise(F.col("own")) / PART))))
@@ -443,18 +414,19 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     paired = pairs.select("block", F.explode(F.array(F.struct(F.col("block").alias("node"), "n"), F.struct(F.col("other").alias("node"), F.col("m").alias("n")))).alias("x")).select("block", "x.node", "x.n")
     large = shared.filter("token is not null").drop("next")
     merged = large.join(large.groupBy("token").agg(F.min("node").alias("block")), "token")
-    stars = (merged.filter("node <> block").groupBy("node", "block").agg(F.count("*").alias("c"))
-             .groupBy("node").agg(F.max(F.struct("c", "block")).alias("best")).select(F.col("node").alias("a"), F.col("best.block").alias("b")))
     same_id = (members.filter("node is not null and id is not null").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("hi"))
                .filter("b < hi").drop("hi").join(members, "id").filter("node <> b").select(F.col("node").alias("a"), "b"))
-    stars, stars_path = materialise(stars, "ngram-stars")
-    links, links_path = materialise(verified(stars, scan, k, percent).union(same_id), "ngram-links")
-    comp, comp_path = materialise(components(links), "ngram-comp")
-    parts, parts_path = materialise(_part_rows(paired.union(merged.select("block", "node", "n")).distinct(), comp, percent), "ngram-parts")
-    spans = (parts.join(_texts(parts.select("node").distinct(), scan), "node").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-             .mapInArrow(_span(k, percent), "a long, b long"))
-    links, more_path = materialise(links.union(spans), "ngram-links")
-    paths = [scan_path, shared_path, stars_path, links_path, comp_path, parts_path, more_path]
+    blocks, blocks_path = materialise(paired.union(merged.select("block", "node", "n")).distinct()
+                                      .withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("block")) / PART)), "ngram-blocks")
+    links, links_path = materialise(same_id, "ngram-links")
+    paths = [scan_path, shared_path, blocks_path, links_path]
+    for mode in ("own", "few", "all"):
+        comp, comp_path = materialise(components(links), "ngram-comp")
+        parts, parts_path = materialise(_part_rows(blocks, comp, percent, mode), "ngram-parts")
+        spans = (parts.join(_texts(parts.select("node").distinct(), scan), "node").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+                 .mapInArrow(_span(k, percent), "a long, b long"))
+        links, links_path = materialise(links.union(spans), "ngram-links")
+        paths += [comp_path, parts_path, links_path]
     comp = components(links)
 
     # component labels are digests: the answer is each component's smallest document

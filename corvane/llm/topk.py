@@ -93,7 +93,7 @@ def _search(k: int):
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024,
-               block: int = 8192, query_block: int = 512) -> DataFrame:
+               block: int = 4096, query_block: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best vectors by integer inner product, ties to the smaller id.
 
     Components x become floor(scale * x). Vectors that are null or hold a null or non-finite
@@ -104,10 +104,11 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     xs = floor_vectors(vectors, id_col, vec_col, scale)
     qs = floor_vectors(queries, id_col, vec_col, scale)
     schema = "dim int, n int, ids binary, x binary"
-    cand = xs.mapInArrow(_pack(block), schema)
-    asked = qs.mapInArrow(_pack(query_block), schema)
-    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    pairs = cand.join(asked, "dim")
+    slots = max(1, -(-xs.count() // block))  # one for each block of candidates; every block of queries goes to all of them
+    cand = xs.mapInArrow(_pack(block), schema).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots))).repartition(slots, "dim", "slot")
+    asked = (qs.mapInArrow(_pack(query_block), schema).select("dim", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
+             .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))).repartition(slots, "dim", "slot"))
+    pairs = cand.join(asked, ["dim", "slot"])
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
