@@ -85,10 +85,10 @@ def _items(min_match: int):
 def _holders(lengths: list[int], filter_bits: np.ndarray):
     """(id, words, seeds) of each document with a window in the filter."""
     packed = np.packbits(filter_bits)
+    mask, shift = np.uint64((1 << FILTER_BITS) - 1), np.uint64(FILTER_BITS)
 
     def run(batches):
-        hold = np.unpackbits(packed).astype(bool)
-        mask = np.uint64(len(hold) - 1)
+        low, high = np.unpackbits(packed).astype(bool).reshape(2, -1)
         for batch in batches:
             ids = batch.column("id")
             rows, seqs, found = [], [], []
@@ -97,7 +97,8 @@ def _holders(lengths: list[int], filter_bits: np.ndarray):
                 for k in lengths:
                     win, ok = window_hashes(words, bounds, k)
                     at = np.flatnonzero(ok)
-                    at = at[hold[(win[at] & mask).astype(np.int64)]]
+                    at = at[low[(win[at] & mask).astype(np.int64)]]
+                    at = at[high[((win[at] >> shift) & mask).astype(np.int64)]]
                     hits.append((at, win[at]))
                 at, win = (np.concatenate(x) for x in zip(*hits, strict=True))
                 doc = np.searchsorted(bounds, at, "right") - 1
@@ -141,11 +142,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items, _ = materialise(benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text"))
                            .mapInArrow(_items(min_match), "item long, words binary, seeds array<long>"), "decon-items")
     mask = (1 << FILTER_BITS) - 1
-    hold = np.zeros(1 << FILTER_BITS, bool)  # of fixed size: a larger benchmark only lets more documents through
+    hold = np.zeros((2, 1 << FILTER_BITS), bool)  # of fixed size: a larger benchmark only lets more documents through
     seeds = items.select("item", F.explode("seeds").alias("seed"))
-    for r in (seeds.select((F.col("seed").bitwiseAND(F.lit(mask)) / 4096).cast("int").alias("cell"), F.col("seed").bitwiseAND(F.lit(4095)).cast("int").alias("bit"))
-              .groupBy("cell").agg(F.collect_set("bit").alias("bits")).toLocalIterator()):  # at most 1024 rows of at most 4096
-        hold[r.cell * 4096 + np.array(r.bits)] = True
+    bits = seeds.select(F.posexplode(F.array(F.col("seed"), F.shiftrightunsigned("seed", FILTER_BITS))).alias("half", "x")).withColumn("x", F.col("x").bitwiseAND(F.lit(mask)))
+    cells = bits.select("half", F.shiftright("x", 12).cast("int").alias("cell"), F.col("x").bitwiseAND(F.lit(4095)).cast("int").alias("bit"))
+    for r in cells.groupBy("half", "cell").agg(F.collect_set("bit").alias("bits")).toLocalIterator():  # at most 2048 rows of at most 4096
+        hold[r.half, r.cell * 4096 + np.array(r.bits)] = True
     lengths = sorted(r.k for r in items.select(F.least(F.lit(min_match), (F.octet_length("words") / 8).cast("int")).alias("k")).distinct().collect()) or [min_match]
     holders, _ = materialise(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
                              .mapInArrow(_holders(lengths, hold), "id long, words binary, seeds array<long>")
