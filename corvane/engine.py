@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import paths as P
 from corvane.functions import text as T
+from corvane.functions.definitions import definition_identifiers
 from corvane.functions.embedding import EmbedBatch, embedding_column, hashed
 from corvane.operators import chunking, incremental, lexical, ranking, retrieval, trace
 from corvane.operators.filters import anchor_filter, extension_filter, filename_filter, parse_filter
@@ -58,7 +59,7 @@ class Engine:
         rows = md.unionByName(code).withColumn("language", lang)
         c, path = F.col("content"), F.col("relative_path")
         rows = rows.withColumn("sym", F.when(F.col("language") != "markdown", T.symbol(c)).when(F.col("symbol_name").isNotNull(), F.struct(F.lit("section").alias("kind"), F.col("symbol_name").alias("name"))))
-        defined = F.array_distinct(F.transform(T.definition_signatures(c), lambda s: F.substring_index(s, ":", -1)))
+        defined = definition_identifiers(c, F.col("language"))
         return rows.select(
             T.chunk_id(path, F.col("start_line"), F.col("end_line"), c).alias("id"), "content", "relative_path", "start_line", "end_line", P.extension(path).alias("file_extension"),
             F.coalesce("sym.name", F.lit("")).alias("primary_symbol"), F.coalesce("sym.kind", F.lit("")).alias("symbol_kind"),

@@ -594,3 +594,54 @@ def streaming_incremental(spark, sf):
     q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{_scratch(spark)}/stream").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+@query("""SELECT 'src/' || source || '/unit' || doc_id || '.ts' AS relative_path, ['Shape' || doc_id, 'make' || (doc_id % 9)] AS names FROM documents""")
+def definition_identifiers(spark, sf):
+    """Names that files define."""
+    from corvane.functions.definitions import definition_identifiers as names
+
+    f = code_files(spark, sf)
+    return f.select("relative_path", names(F.col("content"), P.language(F.col("relative_path"))).alias("names"))
+
+
+@query("""WITH e AS (SELECT user_id % 50 AS codebase, CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'f' || (event_id % 40) END AS path, event_id % 97 = 0 AS unknown FROM events),
+s AS (SELECT codebase, CASE WHEN bool_or(unknown) THEN 'unknown' ELSE 'dirty' END AS status FROM e GROUP BY codebase)
+SELECT codebase, CASE WHEN codebase % 2 = 0 THEN 'sync' WHEN status = 'unknown' THEN 'serve_and_queue' ELSE 'targeted_sync' END AS action FROM s""")
+def sync_policy(spark, sf):
+    """What a search does first, strong for even codebases."""
+    s = tracker.dirty_state(_file_events(spark, sf))
+    return s.select("codebase", tracker.decide(F.col("status"), F.col("codebase") % 2 == 0, F.lit(3)).alias("action"))
+
+
+@query("""WITH o AS (SELECT relative_path, row_number() OVER (ORDER BY relative_path, chunk_index) AS place FROM (SELECT source AS relative_path, doc_id AS chunk_index FROM documents))
+SELECT relative_path, count(*) AS chunks, CASE WHEN (SELECT count(*) FROM documents) > 150 THEN 'limit_reached' ELSE 'completed' END AS status FROM o WHERE place <= 150 GROUP BY relative_path""")
+def chunk_cap(spark, sf):
+    """The first 150 chunks in path order, with the run's status."""
+    d = t(spark, sf, "documents").select(F.col("source").alias("relative_path"), F.col("doc_id").alias("chunk_index"))
+    return chunking.capped(d, 150).groupBy("relative_path", "status").agg(F.count("*").alias("chunks"))
+
+
+@query(f"""WITH p AS (SELECT string_split({SHAPED_DUCK}, '/') AS parts, n_chars FROM documents),
+f AS (SELECT unnest(list_transform(range(0, len(parts)), lambda i: array_to_string(parts[1:i], '/'))) AS folder, n_chars FROM p)
+SELECT folder, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM f GROUP BY folder""")
+def directory_tree(spark, sf):
+    """Files and bytes of every folder."""
+    from corvane.sources.files import directory
+
+    return directory(t(spark, sf, "documents").select(F.expr(SHAPED_SPARK).alias("relative_path"), F.col("n_chars").alias("size")))
+
+
+@query("""WITH r AS (SELECT lang AS case_id, source AS path, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
+SELECT case_id, count(DISTINCT CASE WHEN rank <= 5 THEN path END) <= 2 OR count(DISTINCT CASE WHEN rank <= 10 THEN path END) <= 3 AS saturated FROM r GROUP BY case_id""")
+def same_file_saturation(spark, sf):
+    """F19."""
+    d = t(spark, sf, "documents").select(F.col("lang").alias("case_id"), F.col("source").alias("path"), "n_chars", "doc_id")
+    return evaluation.saturation(d.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("n_chars"), "doc_id"))))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'removed' ELSE 'added' END AS change FROM orders WHERE o_orderkey % 3 <> 1""")
+def merkle_compare(spark, sf):
+    """Set differences of node ids."""
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return incremental.merkle_changes(o.filter("id % 3 <> 2"), o.filter("id % 3 <> 0"))

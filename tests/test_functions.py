@@ -84,3 +84,25 @@ def test_ignore_rules(spark):
     assert {p: ignored_path(p, rules) for p in cases} == cases
     got = values(spark, [(p,) for p in cases], "p string", ignored(F.col("p"), ["*.log", "!keep.log", "build/", "/top", "a/**/z"]))
     assert got == list(cases.values())
+
+
+@pytest.mark.parametrize("lang,text,names", [
+    ("typescript", "export class A {}\n// class B\nconst c = 1\nfunction d() {}", ["A", "c", "d"]), ("python", "class A:\n  async def b(self):\n    pass\n# def x()", ["A", "b"]),
+    ("go", "func (s *S) Run() {\ntype T struct {", ["Run", "T"]), ("rust", "pub async fn go(x: i32) {\npub struct P;", ["go", "P"]), ("c", "#define MAX 1\nint main(int argc) {\nstruct s {", ["MAX", "main", "s"]),
+    ("java", "public class A {\n  private static int f(int x) {", ["A", "f"]), ("toml", "[tool.black]", ["tool.black", "black"]), ("markdown", "# Title\ntext\n```\ndef f():\n```\ndef g():", ["Title", "f"]), ("json", "class A", []), ("cmake", "macro(add_it x)", ["add_it"])])
+def test_definition_identifiers(spark, lang, text, names):
+    from corvane.functions.definitions import definition_identifiers
+
+    assert values(spark, [(text, lang)], "t string, l string", definition_identifiers(F.col("t"), F.col("l"))) == [names]
+
+
+def test_phrases(spark):
+    from corvane.operators.lexical import lexical_score, phrase_score
+
+    terms = analyse("where are commands registered centrally for the cli")
+    assert "command_registration" not in terms.phrases and analyse("command registration owner").phrases == ["owner_registry", "command_registration"]
+    none = F.array().cast("array<string>")
+    df = spark.createDataFrame([("src/cmd/root.go", "register the command here"), ("a/b.go", "register the command"), ("a/c.go", "nothing")], "relative_path string, content string")
+    df = df.withColumn("path_tokens", none).withColumn("symbols", none).withColumn("definition_identifiers", none).withColumn("content_definitions", none).withColumn("file_role", F.lit("implementation"))
+    assert [r[0] for r in df.select(phrase_score(["command_registration"])).collect()] == [240, 150, 0]
+    assert [r[0] > 0 for r in df.select(lexical_score(analyse("command registration owner"))[0]).collect()] == [True, True, False]
