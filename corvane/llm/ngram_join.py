@@ -9,8 +9,9 @@ least `percent` per cent. The search is exact:
    (ties by hash). The order is the same for all documents, hence linked nodes share at least
    SHARED shingles of their prefixes, whatever the sketch's errors. Each shingle's position bounds
    the sizes of partners for which it can be one of the first shared ones.
-3. Shingles of few documents give pairs; pairs that share SHARED of them form blocks. Shingles of
-   many documents are blocks themselves, merged where they have the same smallest member.
+3. Shingles of few documents give pairs; pairs that may share SHARED shingles form blocks. Shingles
+   of many documents are blocks themselves, merged where they have the same smallest member, and
+   without documents that have too few such shingles.
 4. Blocks that hold several components are cut into parts of bounded size: first each part is
    searched by itself, then some members of each component found so far, at last all pairs of parts
    that may still join components. So a large group of near copies is linked in linear work, and
@@ -40,7 +41,7 @@ SKETCH_BITS = 17  # 2**17 counters, whatever the size of the input
 BLOCK_ROWS = 4096  # counters of one sketch row
 BRIDGE = 16  # members of a component that look for links between parts
 PART = 512  # members of a block handled together
-SHARED = 3  # prefix shingles that linked documents must share
+SHARED = 8  # prefix shingles that linked documents must share, if they have as many
 LARGE = 16  # documents from which a shingle's block is searched as a whole, not by pairs
 FANOUT = 8
 MAX_BITMAP = 1 << 16
@@ -407,12 +408,20 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select(F.when(F.col("next").isNull(), F.col("token")).alias("token"), "node", n(F.col("nc")).cast("int").alias("n"),
                 F.transform("next", lambda x: F.struct(x["node"].alias("node"), n(x["nc"]).cast("int").alias("n"))).alias("next")), "ngram-shared")
 
+    # linked documents share `least_shared` prefix shingles: those of few documents count exactly,
+    # of those of many documents no more than the smaller number that either document has
+    many = shared.filter("token is not null").drop("next")
+    n_many = many.groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    least_shared = lambda size: F.least(F.lit(SHARED), F.ceil(F.lit(percent) * size / 100))
     pairs = (shared.filter("token is null").select("node", "n", F.explode("next").alias("x"))
-             .select(F.least("node", "x.node").alias("block"), F.greatest("node", "x.node").alias("other"), F.least("n", "x.n").alias("least"), F.greatest("n", "x.n").alias("most"), (F.col("node") < F.col("x.node")).alias("up"), "n", F.col("x.n").alias("m"))
-             .groupBy("block", "other").agg(F.count("*").alias("c"), F.first("least").alias("least"), F.first(F.when(F.col("up"), F.col("n")).otherwise(F.col("m"))).alias("n"), F.first(F.when(F.col("up"), F.col("m")).otherwise(F.col("n"))).alias("m"))
-             .filter(f"c >= least({SHARED}, cast(ceil({percent} * least / 100) as int))"))
-    paired = pairs.select("block", F.explode(F.array(F.struct(F.col("block").alias("node"), "n"), F.struct(F.col("other").alias("node"), F.col("m").alias("n")))).alias("x")).select("block", "x.node", "x.n")
-    large = shared.filter("token is not null").drop("next")
+             .select(F.least(F.struct("node", "n"), F.struct("x.node", "x.n")).alias("a"), F.greatest(F.struct("node", "n"), F.struct("x.node", "x.n")).alias("b"))
+             .groupBy("a", "b").agg(F.count("*").alias("c")))
+    of_many = lambda side: n_many.select(F.col("node").alias(f"{side}_node"), F.col("k").alias(f"{side}_k"))
+    pairs = (pairs.withColumn("a_node", F.col("a.node")).withColumn("b_node", F.col("b.node")).join(of_many("a"), "a_node", "left").join(of_many("b"), "b_node", "left")
+             .filter(F.col("c") + F.least(F.coalesce("a_k", F.lit(0)), F.coalesce("b_k", F.lit(0))) >= least_shared(F.least("a.n", "b.n"))))
+    paired = pairs.select(F.col("a.node").alias("block"), F.explode(F.array("a", "b")).alias("x")).select("block", "x.node", "x.n")
+    enough = n_many.filter(F.col("k") >= least_shared(F.ceil(F.lit(percent) * F.col("n") / 100))).select("node")
+    large = many.join(enough, "node", "left_semi")
     merged = large.join(large.groupBy("token").agg(F.min("node").alias("block")), "token")
     same_id = (members.filter("node is not null and id is not null").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("hi"))
                .filter("b < hi").drop("hi").join(members, "id").filter("node <> b").select(F.col("node").alias("a"), "b"))
