@@ -250,10 +250,13 @@ def distinct_in_file(chunks: DataFrame, order: Column) -> DataFrame:
 
 
 def capped(chunks: DataFrame, cap: int = 450_000) -> DataFrame:
-    """The first `cap` chunks in path order, with status limit_reached or completed. Counts per path come first, so no sort of all chunks in one task."""
+    """The first `cap` chunks in path order, with status limit_reached or completed.
+
+    Only the first `cap` paths can hold them, so the running sum sees no more rows than that, however many files there are.
+    """
     sizes = chunks.groupBy("relative_path").agg(F.count("*").alias("own"))
     before = F.sum("own").over(Window.orderBy("relative_path").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.withColumn("before", F.coalesce(before, F.lit(0)))
+    offsets = sizes.orderBy("relative_path").limit(cap).withColumn("before", F.coalesce(before, F.lit(0)))
     place = F.row_number().over(Window.partitionBy("relative_path").orderBy("chunk_index")) + F.col("before")
     total = sizes.agg(F.sum("own")).first()[0] or 0
     return (chunks.join(offsets.select("relative_path", "before"), "relative_path").withColumn("place", place).filter(F.col("place") <= cap).drop("before", "place")

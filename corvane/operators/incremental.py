@@ -28,7 +28,11 @@ def merkle_changes(old_ids: DataFrame, new_ids: DataFrame) -> DataFrame:
 
 
 def root_digest(state: DataFrame) -> DataFrame:
-    """One row: sha256 of 'root:' and all hashes in path order. Hashes are gathered per bucket of paths, then the buckets' digests."""
+    """One row: sha256 of 'root:' and all hashes in path order.
+
+    The digest is sequential by definition, so one task holds 64 bytes a file: meant for the files of one
+    codebase. snapshot_diff needs no such gathering.
+    """
     return state.agg(F.sha2(F.concat(F.lit("root:"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("relative_path", "hash"))), lambda s: s["hash"]), "")), 256).alias("root"))
 
 

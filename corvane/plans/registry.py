@@ -172,20 +172,15 @@ def exact_dedupe(spark, sf):
     return chunking.distinct_in_file(d, F.col("doc_id")).select("doc_id", "normalized_content_hash")
 
 
-@query("""WITH l AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 8)) AS ls FROM documents),
-e AS (SELECT doc_id, unnest(ls) AS line FROM l), k AS (SELECT line FROM e GROUP BY line HAVING count(*) BETWEEN 2 AND 50),
-p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.line = b.line AND a.doc_id < b.doc_id WHERE a.line IN (SELECT line FROM k)),
-j AS (SELECT a, b, len(list_intersect(x.ls, y.ls)) AS i, len(x.ls) AS n, len(y.ls) AS m FROM p JOIN l x ON x.doc_id = a JOIN l y ON y.doc_id = b)
-SELECT a, b, round(CASE WHEN least(n, m) < 4 THEN 0 ELSE i / (n + m - i) END, 6) AS similarity FROM j WHERE least(n, m) >= 4 AND i / (n + m - i) >= 0.82""")
+@query("""WITH r AS (SELECT lang AS query_id, doc_id AS id, source, text, row_number() OVER (PARTITION BY lang ORDER BY n_chars % 997 DESC, doc_id) AS rank FROM documents),
+l AS (SELECT query_id, id, source, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 8)) AS ls FROM r WHERE rank <= 200),
+j AS (SELECT x.query_id, x.id AS a, y.id AS b, len(list_intersect(x.ls, y.ls)) AS i, len(x.ls) AS n, len(y.ls) AS m FROM l x JOIN l y ON x.query_id = y.query_id AND x.source = y.source AND x.id < y.id)
+SELECT query_id, a, b, round(CASE WHEN least(n, m) < 4 THEN 0 ELSE i / (n + m - i) END, 6) AS similarity FROM j""")
 def near_dup_pairs(spark, sf):
-    """Pairs whose line sets are alike, found over lines that 2 to 50 documents share (the oracle blocks alike)."""
-    d = t(spark, sf, "documents").select("doc_id", T.meaningful_lines(F.col("text")).alias("ls"))
-    e = d.select("doc_id", F.explode("ls").alias("line"))
-    keys = e.groupBy("line").agg(F.count("*").alias("n")).filter("n between 2 and 50").select("line")
-    e = e.join(keys, "line")
-    pairs = e.select(F.col("doc_id").alias("a"), "line").join(e.select(F.col("doc_id").alias("b"), "line"), "line").filter("a < b").select("a", "b").distinct()
-    j = pairs.join(d.toDF("a", "x"), "a").join(d.toDF("b", "y"), "b").select("a", "b", F.round(T.line_jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
-    return j.filter("similarity >= 0.82")
+    """Similarity of the line sets of all results of one path in each query's 200 candidates."""
+    r = _results(spark, sf).select("query_id", "id", "relative_path", T.meaningful_lines(F.col("content")).alias("ls"))
+    pairs = r.toDF("query_id", "a", "relative_path", "x").join(r.toDF("query_id", "b", "relative_path", "y"), ["query_id", "relative_path"]).filter("a < b")
+    return pairs.select("query_id", "a", "b", F.round(T.line_jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, {SHAPED_DUCK} AS path FROM documents)
@@ -415,7 +410,7 @@ def lexical_score_rows(spark, sf):
 
 @query("""WITH b AS (SELECT item_id AS case_id, 'doc_' || (item_id * 3 % 40) AS prim, 'doc_' || (item_id * 5 % 40) AS acc FROM benchmark),
 r AS (SELECT conv_id % 40 AS case_id, 'doc_' || ((conv_id * 7 + turn * 11) % 40) AS path, row_number() OVER (PARTITION BY conv_id % 40 ORDER BY conv_id, turn) AS rank FROM conversations),
-f AS (SELECT case_id, path, row_number() OVER (PARTITION BY case_id ORDER BY min(rank), path) AS rank FROM r WHERE rank <= 30 GROUP BY case_id, path),
+f AS (SELECT case_id, path, row_number() OVER (PARTITION BY case_id ORDER BY min(rank), path) AS rank FROM r GROUP BY case_id, path),
 m AS (SELECT b.case_id, count(f.path) AS n, min(CASE WHEN path = prim THEN f.rank END) AS p, min(CASE WHEN path = acc THEN f.rank END) AS a FROM b LEFT JOIN f USING (case_id) GROUP BY b.case_id)
 SELECT case_id, CASE WHEN n = 0 THEN 0 WHEN p <= 5 THEN 4 WHEN p <= 8 OR a <= 5 THEN 3 WHEN a <= 10 OR p <= 20 THEN 2 ELSE 1 END AS score, CAST(p AS INTEGER) AS primary_rank, CAST(a AS INTEGER) AS acceptable_rank FROM m""")
 def benchmark_score(spark, sf):
@@ -424,7 +419,7 @@ def benchmark_score(spark, sf):
     doc = lambda n: F.concat(F.lit("doc_"), n.cast("string"))
     cases = b.select(F.col("item_id").alias("case_id"), F.array(doc(F.col("item_id") * 3 % 40)).alias("primary"), F.array(doc(F.col("item_id") * 5 % 40)).alias("acceptable"), F.array().cast("array<string>").alias("symbols"))
     r = t(spark, sf, "conversations").select((F.col("conv_id") % 40).alias("case_id"), doc((F.col("conv_id") * 7 + F.col("turn") * 11) % 40).alias("path"), "conv_id", "turn", F.lit("").alias("content"))
-    r = r.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("conv_id", "turn"))).filter("rank <= 30")
+    r = r.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("conv_id", "turn")))
     return evaluation.case_scores(r, cases)
 
 
