@@ -16,20 +16,19 @@ from corvane.llm.decontaminate import contaminated
 from corvane.llm.ngram_join import ngram_jaccard
 from corvane.llm.queries import table, tokenizer_path
 from corvane.llm.secrets import mask_secrets
-from corvane.llm.shared import materialise
-from corvane.shipping import ship
+from corvane.llm.shared import materialise, prepare
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from the labels of documents that are not held out."""
-    ship(spark)
+    prepare(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group; of rows that repeat it, the one with the smallest text. Rows without an id stay."""
-    ship(spark)
+    prepare(spark)
     keep = ngram_jaccard(docs).filter("doc_id = component_id").select("doc_id").distinct()
     once = Window.partitionBy("doc_id").orderBy("text")
     kept = docs.join(keep, "doc_id", "left_semi").withColumn("__row", F.row_number().over(once)).filter("__row = 1").drop("__row")
@@ -38,20 +37,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    ship(spark)
+    prepare(spark)
     found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secret values masked, n_chars counted anew."""
-    ship(spark)
+    prepare(spark)
     return mask_secrets(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every document."""
-    ship(spark)
+    prepare(spark)
     return bpe_encode(docs, tokenizer_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
-KEPT_WORDS = 600_000  # words whose encoding a task remembers; then it starts anew
+KEPT_WORDS = 300_000  # words whose encoding a task remembers; then it starts anew
 
 
 def byte_letters() -> list[str]:

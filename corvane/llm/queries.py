@@ -13,14 +13,14 @@ from corvane.llm.decontaminate import contaminated
 from corvane.llm.html_extract import extract_text
 from corvane.llm.ngram_join import ngram_jaccard
 from corvane.llm.secrets import KINDS, scan_secrets, span_text
+from corvane.llm.shared import prepare
 from corvane.llm.substring_dedup import remove_repeats
 from corvane.llm.topk import exact_topk
 from corvane.llm.warc import capture_index, read_records, write_archives
-from corvane.shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

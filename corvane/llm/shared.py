@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.shipping import ship
+
+BATCH_ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one is set only where none is named (tests)."""
@@ -18,6 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Before the Python operators run: sources on the executors, and Arrow batches of bounded size.
+
+    Texts can be long; batches of Spark's default 10,000 rows of them fill the buffers of JVM and
+    worker alike. A session that names another batch size keeps it.
+    """
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
