@@ -39,6 +39,7 @@ from corvane.llm.shared import discard, materialise
 
 SKETCH_BITS = 17  # 2**17 counters, whatever the size of the input
 BLOCK_ROWS = 4096  # counters of one sketch row
+HOT = 16384  # documents in a counter from which its shingles are dealt by salted keys
 BRIDGE = 16  # members of a component that look for links between parts
 PART = 512  # members of a block handled together
 SHARED = 8  # prefix shingles that linked documents must share, if they have as many
@@ -132,7 +133,7 @@ def _prefixes(k: int, percent: int, sketch: np.ndarray):
     nc holds the size n and, in the low half, the largest partner size for which this token can be
     one of the first SHARED common ones: from position i on at most n - i tokens are left to share.
     """
-    hot = max(16384, int(4 * sketch.mean()))
+    hot = max(HOT, int(4 * sketch.mean()))
     order = sketch.astype(np.int64)
 
     def run(batches):

@@ -78,6 +78,8 @@ def test_one_large_group(docs_of, monkeypatch):
         rows.append((k, " ".join(w)))
     want = brute(rows)
     assert {r.doc_id: r.component_id for r in m.ngram_jaccard(docs_of(rows)).collect()} == want and PART == 512
+    monkeypatch.setattr(m, "HOT", 10)  # frequent shingles get salts
+    assert {r.doc_id: r.component_id for r in m.ngram_jaccard(docs_of(rows)).collect()} == want
 
 
 def test_odd_rows(odd, empty):
