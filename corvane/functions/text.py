@@ -181,3 +181,16 @@ def line_range(content: Column, *spellings: tuple[Column, Column]) -> Column:
         hit = F.when(s > 0, F.struct(s.alias("start"), F.when(e >= s, e).otherwise(s + count - 1).alias("end"), F.lit(True).alias("available")))
         out = hit if out is None else F.coalesce(out, hit)
     return F.coalesce(out, F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit(False).alias("available")))
+
+
+# What introduces a type worth following, and built-in types that are not.
+FOLLOWS = [r"@delegate\s+([A-Z][A-Za-z0-9_$]*)\b", r"\b(?:new|extends|implements)\s+([A-Z][A-Za-z0-9_$]*)\b", r":\s*([A-Z][A-Za-z0-9_$]*)\b", r"\bas\s+([A-Z][A-Za-z0-9_$]*)\b", r"\b(?:class|interface|type|enum)\s+([A-Z][A-Za-z0-9_$]*)\b"]
+BUILT_IN = "Array Boolean Date Error Map Number Object Promise Record Set String WeakMap WeakSet".split()
+
+
+def follow_up_symbols(content: Column) -> Column:
+    """Distinct capitalised names that a context mentions as types or in import and export lists, built-ins left out."""
+    lists = F.flatten(F.transform(F.regexp_extract_all(content, F.lit(r"\b(?:import|export)\s*\{([^}]+)\}"), F.lit(1)), lambda s: F.split(s, ",")))
+    listed = F.filter(F.transform(lists, lambda s: F.regexp_extract(s, r"^\s*([^\s]+)", 1)), lambda s: s.rlike("^[A-Z][A-Za-z0-9_$]*$"))
+    found = F.concat(*[F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in FOLLOWS], listed)
+    return F.array_except(F.array_distinct(found), F.array(*[F.lit(x) for x in BUILT_IN]))

@@ -106,3 +106,8 @@ def test_phrases(spark):
     df = df.withColumn("path_tokens", none).withColumn("symbols", none).withColumn("definition_identifiers", none).withColumn("content_definitions", none).withColumn("file_role", F.lit("implementation"))
     assert [r[0] for r in df.select(phrase_score(["command_registration"])).collect()] == [240, 150, 0]
     assert [r[0] > 0 for r in df.select(lexical_score(analyse("command registration owner"))[0]).collect()] == [True, True, False]
+
+
+def test_follow_up_symbols(spark):
+    text = 'import { Aa, bb as Cc, Dd as ee } from "x"\nclass Ff extends Gg implements Map {\n  hh: Ii = new Jj() as Kk\n}\nexport { Ll }'
+    assert sorted(values(spark, [(text,)], "t string", T.follow_up_symbols(F.col("t")))[0]) == ["Aa", "Cc", "Dd", "Ff", "Gg", "Ii", "Jj", "Kk", "Ll"]
