@@ -1,14 +1,16 @@
 """Secret scan: fixed patterns, and password guess-cost dynamic programming on credential values.
 
 The base patterns find assignments, access keys and long hex runs. Beyond them, values that stand
-in a credential context (pwd, passphrase, auth, ... with ":", "=" or "is") are priced: the cheapest
-segmentation of the value into words, dates, repeats, keyboard walks and brute-force characters
-gives the guesses an attacker needs. Values that cost at least 10**threshold guesses are added as
-spans of kind `guess`; cheap ones (placeholders, plain words, 12345678) are not.
+in a credential context (password, DB_PASS, token, auth, ... with ":", "=" or "is") are priced: the
+cheapest segmentation of the value into words, dates, repeats, keyboard walks and brute-force
+characters gives the guesses an attacker needs. Values that cost at least 10**threshold guesses are
+added as spans of kind `guess`; cheap ones (placeholders, plain words, 12345678) are not. Where a
+base span covers a part of such a value, the rest of it is the `guess` span.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
@@ -23,11 +25,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run of 32 or more: the same as d
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 KINDS = ["assign", "access", "hex", "guess"]
 
+# Names of the base patterns count inside longer names, as there; the others at the start of a name or after "_".
+_NAME = r"""(?:(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|credentials?|auth|bearer|login|private_key|access_key|client_key)|password|passwd|secret|token|api_?key)["']?"""
+# The value goes up to white space, a quote or a markup tag; the name of another credential is no value.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9_])(pwd|pass|passphrase|passcode|credentials?|auth|bearer|login|private_key|access_key|client_key)["']?"""
-    r"""(?:\x20*[:=]\x20*|\x20is\x20)["']?([^\s"',;<>]{8,})""", re.IGNORECASE | re.ASCII)
+    rf"""{_NAME}(?:\x20*[:=]\x20*|\x20is\x20)["']?(?!{_NAME}[:=]?(?:\s|$))((?:[^\s"'<]|<(?!/?[a-z][a-z0-9]*/?>)){{8,}})""", re.IGNORECASE | re.ASCII)
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CONTEXT_WORDS = ("pwd", "pass", "credential", "auth", "bearer", "login", "private_key", "access_key", "client_key")
+CONTEXT_WORDS = (*KEYWORDS, "pwd", "pass", "credential", "auth", "bearer", "login", "private_key", "access_key", "client_key")
+CLOSERS = {")": "(", "]": "[", "}": "{"}
 
 # Common password words, most frequent first; a word's place is its guess number.
 WORDS = {w: i for i, w in enumerate(
@@ -87,6 +92,31 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as disjoint spans in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _uncovered(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of [start, end) that none of the disjoint sorted spans covers."""
+    out = []
+    for i in range(max(0, bisect.bisect_left(spans, (start,)) - 1), len(spans)):
+        s, e = spans[i]
+        if s >= end:
+            break
+        if e > start:
+            if s > start:
+                out.append((start, s))
+            start = e
+    return [*out, (start, end)] if start < end else out
+
+
 def find_secrets(text: str, threshold: float) -> list[tuple[str, int, int, int, float]]:
     """(kind, start, end, start of the value, log10 guesses) by start, then kind; offsets in code points."""
     found = []
@@ -97,10 +127,16 @@ def find_secrets(text: str, threshold: float) -> list[tuple[str, int, int, int,
         found += [("access", m.start(), m.end(), m.start(), guess_cost(m[0])) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
     found += [("hex", m.start(), m.end(), m.start(), guess_cost(m[0])) for m in HEX.finditer(text)]
     if any(w in low for w in CONTEXT_WORDS):
-        base = sorted((s, e) for _, s, e, _, _ in found)
+        base = _union([(s, e) for _, s, e, _, _ in found])
         for m in CONTEXT.finditer(text):
-            if not any(s < m.end(2) and m.start(2) < e for s, e in base) and (cost := guess_cost(m[2])) >= threshold:
-                found.append(("guess", m.start(), m.end(), m.start(2), cost))
+            value = m[1].rstrip(",;>")
+            pieces = _uncovered(m.start(1), m.start(1) + len(value), base)
+            if pieces and (cost := guess_cost(value)) >= threshold:
+                for s, e in pieces:
+                    if e - s == len(value):
+                        found.append(("guess", m.start(), e, s, cost))
+                    elif any(c not in CLOSERS or CLOSERS[c] in value for c in text[s:e]):  # not just the end of a bracket around it all
+                        found.append(("guess", s, e, s, cost))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

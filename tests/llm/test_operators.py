@@ -108,6 +108,18 @@ def test_guess_cost():
     assert secrets.redact("a token=abcdefgh1 b", secrets.find_secrets("a token=abcdefgh1 b", 8.0), "[S]") == "a token=[S] b"
 
 
+def test_guess_contexts():
+    for text, value in [("password: x7#Kq9!vLm2$", "x7#Kq9!vLm2$"), ("secret = Tr!ub4&dor%3X", "Tr!ub4&dor%3X"), ("password is x7#Kq9!vLm2$ ok", "x7#Kq9!vLm2$"), ("DB_PASS=x7#Kq9!vLm2$", "x7#Kq9!vLm2$"),
+                        ("APP_DB_PWD='x7#Kq9!vLm2$'", "x7#Kq9!vLm2$"), ("login is password: x7#Kq9!vLm2$", "x7#Kq9!vLm2$"), ("pwd: x7#Kq,9!vL;m2$, next", "x7#Kq,9!vL;m2$"), ("<b>api_key: x7#Kq9<!vLm2$</b>", "x7#Kq9<!vLm2$")]:
+        assert [(s[0], text[s[3] : s[2]]) for s in secrets.find_secrets(text, 8.0)] == [("guess", value)]
+    text = "token: abcdefgh12#$tail99 (token=abcdefgh1)"
+    assert [(s[0], text[s[3] : s[2]]) for s in secrets.find_secrets(text, 8.0)] == [("assign", "abcdefgh12"), ("guess", "#$tail99"), ("assign", "abcdefgh1")]
+    assert secrets.redact(text, secrets.find_secrets(text, 8.0), "[S]") == "token: [S][S] (token=[S])"
+    key = "AKIA" + "Q" * 16
+    text = f"pwd=x7#{key}vLm2$9!"
+    assert [(s[0], text[s[3] : s[2]]) for s in secrets.find_secrets(text, 8.0)] == [("guess", "x7#"), ("access", key), ("guess", "vLm2$9!")]
+
+
 def test_mask_keeps_columns(odd):
     out = secrets.mask_secrets(odd)
     assert out.columns == odd.columns and out.count() == 9
