@@ -10,7 +10,10 @@ base span covers a part of such a value, the rest of it is the `guess` span.
 
 from __future__ import annotations
 
+import base64
 import bisect
+import functools
+import json
 import math
 import re
 
@@ -34,7 +37,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_WORDS = (*KEYWORDS, "pwd", "pass", "credential", "auth", "bearer", "login", "private_key", "access_key", "client_key")
 CLOSERS = {")": "(", "]": "[", "}": "{"}
 
-# Common password words, most frequent first; a word's place is its guess number.
+# Common password words, most frequent first; a word's place is its guess number, or its place in the ranked word list if that is lower.
 WORDS = {w: i for i, w in enumerate(
     "password admin welcome letmein monkey dragon master login secret hello test user root guest love "
     "sunshine princess football baseball shadow superman batman summer winter spring autumn flower "
@@ -46,7 +49,7 @@ ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrs
 NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {b + a for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
-LONGEST_WORD = max(map(len, WORDS))
+LONGEST_WORD = 24  # of a ranked word list
 SEGMENT = math.log10(2)  # each further segment doubles the arrangements to try
 
 
@@ -54,8 +57,43 @@ def _char_cost(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation; 0 for an empty value. Linear in its length."""
+def word_lists() -> list[str]:
+    """The default ranked word lists: vocabularies of public tokenizers, in English and in several languages."""
+    import public_tokenizers
+
+    return [public_tokenizers.path(name) for name in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")]
+
+
+def _listed(path: str) -> list[str]:
+    """The lower-case words of a list, most frequent first.
+
+    A text file has one word a line. Of a tokenizer's .json or .tiktoken file the entries count that
+    are a whole word, which such files mark by a leading space or a closing mark, by id.
+    """
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        return [t.removesuffix("</w>") for t in sorted(vocab, key=vocab.get) if t.endswith("</w>")]
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".tiktoken"):
+            tokens = [base64.b64decode(line.split()[0]).decode("utf-8", "replace") for line in f if line.strip()]
+            return [t[1:].lower() for t in tokens if t.startswith(" ")]
+        return [line.strip().lower() for line in f]
+
+
+@functools.lru_cache(4)
+def ranks(words: str | None = None) -> dict[str, int]:
+    """Word -> guess number: the least place in WORDS and in the ranked list at the path `words` (None: word_lists())."""
+    out = dict(WORDS)
+    for path in [words] if words else word_lists():
+        for i, w in enumerate(dict.fromkeys(w for w in _listed(path) if w.isalpha() and 3 <= len(w) <= LONGEST_WORD), 1):
+            out[w] = min(i, out.get(w, i))
+    return out
+
+
+def guess_cost(value: str, words: str | None = None) -> float:
+    """log10 of the guesses of the cheapest segmentation, by the words of ranks(words); 0 for an empty value. Linear in its length."""
+    known = ranks(words)
     n, low = len(value), value.lower()
     if len(low) != n:
         low = value
@@ -76,10 +114,10 @@ def guess_cost(value: str) -> float:
             options.append((end - walk, math.log10(47) + math.log10(walk) + 0.3))
         for size in range(3, min(LONGEST_WORD, end) + 1):
             start = end - size
-            rank = WORDS.get(low[start:end])
+            rank = known.get(low[start:end])
             leet = rank is None
             if leet:
-                rank = WORDS.get(plain[start:end])
+                rank = known.get(plain[start:end])
             if rank is not None:
                 options.append((start, math.log10(rank + 1) + 0.3 * leet + (0.3 if value[start:end] != low[start:end] else 0)))
         for start in dates.get(end, ()):
@@ -117,21 +155,21 @@ def _uncovered(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple
     return [*out, (start, end)] if start < end else out
 
 
-def find_secrets(text: str, threshold: float) -> list[tuple[str, int, int, int, float]]:
+def find_secrets(text: str, threshold: float, words: str | None = None) -> list[tuple[str, int, int, int, float]]:
     """(kind, start, end, start of the value, log10 guesses) by start, then kind; offsets in code points."""
     found = []
     low = text.lower()
     if any(w in low for w in KEYWORDS):
-        found += [("assign", m.start(), m.end(), m.start(2), guess_cost(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
+        found += [("assign", m.start(), m.end(), m.start(2), guess_cost(m[2], words)) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     if "AKIA" in text:
-        found += [("access", m.start(), m.end(), m.start(), guess_cost(m[0])) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
-    found += [("hex", m.start(), m.end(), m.start(), guess_cost(m[0])) for m in HEX.finditer(text)]
+        found += [("access", m.start(), m.end(), m.start(), guess_cost(m[0], words)) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
+    found += [("hex", m.start(), m.end(), m.start(), guess_cost(m[0], words)) for m in HEX.finditer(text)]
     if any(w in low for w in CONTEXT_WORDS):
         base = _union([(s, e) for _, s, e, _, _ in found])
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(",;>")
             pieces = _uncovered(m.start(1), m.start(1) + len(value), base)
-            if pieces and (cost := guess_cost(value)) >= threshold:
+            if pieces and (cost := guess_cost(value, words)) >= threshold:
                 for s, e in pieces:
                     if e - s == len(value):
                         found.append(("guess", m.start(), e, s, cost))
@@ -154,10 +192,11 @@ def redact(text: str, spans: list[tuple[str, int, int, int, float]], mask: str)
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value_start", pa.int32()), ("guesses_log10", pa.float64())])
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 8.0, mask: str | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 8.0, mask: str | None = None, words: str | None = None) -> DataFrame:
     """(doc_id, spans[, text]) for every row; with `mask`, the text with each value replaced by it.
 
-    A null or empty text has no spans, and stays as it is. Repeated rows give repeated rows. Other
+    `words` is the path of the ranked word list, the same on every executor (see ranks). A null or
+    empty text has no spans, and stays as it is. Repeated rows give repeated rows. Other
     columns are ignored. Each text is scanned whole, in one task; no rows move.
     """
 
@@ -166,7 +205,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 texts = batch.column("text").to_pylist()
-                spans = [find_secrets(t, threshold) if t else [] for t in texts]
+                spans = [find_secrets(t, threshold, words) if t else [] for t in texts]
                 cols = [batch.column("id"), pa.array([[dict(zip(("kind", "start", "end", "value_start", "guesses_log10"), s, strict=True)) for s in row] for row in spans], pa.list_(_SPAN))]
                 if mask is not None:
                     cols.append(pa.array([redact(t, s, mask) if s else t for t, s in zip(texts, spans, strict=True)], pa.string()))
@@ -177,14 +216,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("id", id_col)
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text", threshold: float = 8.0, mask: str = "[SECRET]") -> DataFrame:
+def mask_secrets(docs: DataFrame, text_col: str = "text", threshold: float = 8.0, mask: str = "[SECRET]", words: str | None = None) -> DataFrame:
     """docs with every secret value in the text replaced by the mask; all other columns and rows as they were."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                texts = [redact(t, s, mask) if t and (s := find_secrets(t, threshold)) else t for t in batch.column(text_col).to_pylist()]
+                texts = [redact(t, s, mask) if t and (s := find_secrets(t, threshold, words)) else t for t in batch.column(text_col).to_pylist()]
                 place = batch.schema.get_field_index(text_col)
                 yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
 

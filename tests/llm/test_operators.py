@@ -120,6 +120,17 @@ def test_guess_contexts():
     assert [(s[0], text[s[3] : s[2]]) for s in secrets.find_secrets(text, 8.0)] == [("guess", "x7#"), ("access", key), ("guess", "vLm2$9!")]
 
 
+def test_guess_spares_prose(docs_of, tmp_path):
+    prose = ["login is required", "auth: disabled", "Login is required.", "password is incorrect, try again", "the secret is everything", "credentials: available on request", "token is necessary", "api_key is deprecated"]
+    for text in prose:
+        assert secrets.find_secrets(text, 8.0) == []
+    assert [r.text for r in secrets.mask_secrets(docs_of([(1, prose[0]), (2, "pwd: x7#Kq9!vLm2$")])).orderBy("doc_id").collect()] == [prose[0], "pwd: [SECRET]"]
+    assert secrets.guess_cost("quizzaciously") > 8
+    own = tmp_path / "words.txt"
+    own.write_text("the\nquizzaciously\n")
+    assert secrets.guess_cost("quizzaciously", str(own)) < 2
+
+
 def test_mask_keeps_columns(odd):
     out = secrets.mask_secrets(odd)
     assert out.columns == odd.columns and out.count() == 9
