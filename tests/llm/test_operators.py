@@ -232,6 +232,21 @@ def test_template_knows_constants():
     assert html_extract.align(t[6], t[6])[0] > 0 and json.loads(json.dumps(t)) == t
 
 
+def test_copies_are_not_template(spark):
+    words = [f"w{i}" for i in range(600)]
+    said = lambda i, n=60: " ".join(random.Random(i).sample(words, n))
+    shape = "<html><body><article><h1>{0}</h1>{1}<p>{2}</p><p>{3}</p><div class=info><p>Our terms apply</p><p>All rights are ours</p></div><ul><li>One rule</li><li>Two rules</li></ul></article></body></html>"
+    quote = "<blockquote>A quote of the one article</blockquote>"
+    copy = shape.format("Copied", quote, said(1), said(2))
+    mixed = [copy] * 3 + [copy.replace("w1 ", "w9 ")] + [shape.format(f"H{i}", "", said(10 + i), said(50 + i)) for i in range(8)]
+    only = [f"<html><body><article><h1>Same</h1><p>{said(3)}</p><ul><li>a</li><li>b</li></ul><p>{said(4, 20)} {x}</p></article></body></html>" for x in ("one", "two", "three", "four")]
+    rows = [(i, f"http://mixed.org/{i}", h) for i, h in enumerate(mixed)] + [(100 + i, f"http://only.org/{i}", h) for i, h in enumerate(only)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[1] == f"Copied\nA quote of the one article\n{said(1)}\n{said(2)}"  # the box and the list are template, the quote is not
+    assert got[5] == f"H1\n{said(11)}\n{said(51)}"
+    assert got[100] == f"Same\n{said(3)}\na\nb\n{said(4, 20)} one"
+
+
 # ---- quality ---------------------------------------------------------------------------------------------
 def test_quality_learns_and_scores_all(spark, docs_of, odd, empty):
     rng = random.Random(0)
