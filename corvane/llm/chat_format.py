@@ -21,15 +21,22 @@ TYPES = {
 SCHEMA_COLUMNS = "name string, params array<struct<name:string,type:string,required:boolean>>"
 
 
+CALL = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:variant>>>"
+
+
+def holds_calls(text):
+    """Is the text a JSON object with tool calls?"""
+    return F.coalesce(F.size(F.from_json(text, CALL)["tool_calls"]) > 0, F.lit(False))
+
+
 def extract_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(calls, results, plain messages) of (conv_id, turn, role, text) rows.
 
     An assistant text that is a JSON object with `tool_calls` makes calls; a tool text that is a
     JSON object with `tool_call_id` is a result. Everything else, broken JSON included, is plain.
     """
-    call = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:variant>>>"
     result = "struct<tool_call_id:string,content:variant>"
-    rows = messages.select("conv_id", "turn", "role", "text").withColumn("call", F.when(F.col("role") == "assistant", F.from_json("text", call))).withColumn(
+    rows = messages.select("conv_id", "turn", "role", "text").withColumn("call", F.when(F.col("role") == "assistant", F.from_json("text", CALL))).withColumn(
         "result", F.when(F.col("role") == "tool", F.from_json("text", result)))
     calls = rows.filter(F.size("call.tool_calls") > 0).select("conv_id", "turn", F.posexplode("call.tool_calls").alias("pos", "c")).select(
         "conv_id", "turn", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.to_json("c.arguments").alias("arguments"))
@@ -59,9 +66,10 @@ def validity(arguments, params):
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of distinct calls; level is null for calls on or behind a cycle.
 
-    Each round settles the calls whose needs are all settled, so there are as many rounds as the
-    longest chain is long, each over the open calls only. References to ids that are no call of
-    the conversation are ignored.
+    Calls with one need jump along their chain, twice as far in each round, to a call without needs
+    or with several; whoever has not arrived after as many steps as there are such calls is on or
+    behind a cycle. Only calls with several needs are settled one level a round. References to ids
+    that are no call of the conversation are ignored.
     """
     spark = calls.sparkSession
     ids = calls.select("conv_id", "call_id")
@@ -71,18 +79,32 @@ def levels(calls: DataFrame) -> DataFrame:
     if refs.isEmpty():
         discard(spark, refs_path)
         return ids.withColumn("level", F.lit(0))
-    blocked = refs.select("conv_id", "call_id").distinct()
-    done, done_path = materialise(ids.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "chat-levels")
-    while True:
-        ready = (refs.join(done.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left")
-                 .groupBy("conv_id", "call_id").agg(F.max("level").alias("high"), F.count_if(F.col("level").isNull()).alias("open"))
-                 .filter("open = 0").select("conv_id", "call_id", (F.col("high") + 1).alias("level")).join(done, ["conv_id", "call_id"], "left_anti"))
+    needs = refs.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("need").alias("to"))
+    single = needs.filter("n = 1").select("conv_id", "call_id", "to", F.lit(1).cast("long").alias("steps"))
+    jumps, jumps_path = materialise(single.join(single.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("open")), ["conv_id", "to"], "left").withColumn("open", F.coalesce("open", F.lit(False))), "chat-jumps")
+    reach, total = 1, jumps.count()
+    while reach <= total and not jumps.filter("open").isEmpty():
+        ahead = jumps.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"), F.col("open").alias("still"))
+        moved = jumps.filter("open").join(ahead, ["conv_id", "to"]).select("conv_id", "call_id", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("open"))
+        after, path = materialise(jumps.filter("not open").select("conv_id", "call_id", "to", "steps", "open").unionByName(moved), "chat-jumps")
+        discard(spark, jumps_path)
+        jumps, jumps_path, reach = after, path, reach * 2
+    done, done_path = materialise(ids.join(needs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "chat-levels")
+    hops = jumps.select("conv_id", F.col("call_id").alias("need"), "to", "steps", "open")
+    edges, edges_path = materialise(
+        refs.join(needs.filter("n > 1"), ["conv_id", "call_id"], "left_semi").join(hops, ["conv_id", "need"], "left")
+        .select("conv_id", "call_id", F.when(F.col("open").isNull(), F.col("need")).when(~F.col("open"), F.col("to")).alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "chat-edges")
+    grown = not edges.isEmpty()
+    while grown:
+        ready = (edges.join(done.withColumnRenamed("call_id", "to"), ["conv_id", "to"], "left")
+                 .groupBy("conv_id", "call_id").agg(F.max(F.col("level") + F.col("steps")).alias("high"), F.count_if(F.col("level").isNull()).alias("open"))
+                 .filter("open = 0").select("conv_id", "call_id", F.col("high").alias("level")).join(done, ["conv_id", "call_id"], "left_anti"))
         more, path = materialise(done.unionByName(ready), "chat-levels")
         grown = more.count() > done.count()
         discard(spark, done_path)
         done, done_path = more, path
-        if not grown:
-            return ids.join(done, ["conv_id", "call_id"], "left")
+    arrived = jumps.filter("not open").join(done.withColumnRenamed("call_id", "to"), ["conv_id", "to"]).select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level"))
+    return ids.join(done.unionByName(arrived).withColumn("level", F.col("level").cast("int")), ["conv_id", "call_id"], "left")
 
 
 def canonical(**fields):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from pyspark.sql import functions as F
 
 from corvane.llm import quality
 from corvane.llm.bpe import bpe_digests
-from corvane.llm.chat_format import SCHEMA_COLUMNS, link_calls
+from corvane.llm.chat_format import SCHEMA_COLUMNS, format_chat, holds_calls, link_calls
 from corvane.llm.decontaminate import contaminated
 from corvane.llm.html_extract import extract_text
 from corvane.llm.ngram_join import ngram_jaccard
@@ -47,6 +47,33 @@ def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(calls, results, spark.createDataFrame([("reply", params)], SCHEMA_COLUMNS))
 
 
+def as_tool_messages(rows: DataFrame) -> DataFrame:
+    """Messages for format_chat: user turns as calls, and the assistant turns after them as their results; all other rows as they are.
+
+    A call from turn 2 on refers to the call two turns before. Rows that repeat (conv_id, turn,
+    role) get ids of their own, in the order of their texts; the first has the id without a number.
+    Rows without conv_id or turn, and assistant texts that hold real calls, stay as they are.
+    """
+    rows = rows.select("conv_id", "turn", "role", "text")
+    own = F.coalesce(F.col("role").isin("user", "assistant") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & ~((F.col("role") == "assistant") & holds_calls("text")), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn", "role").orderBy("text"))
+    mine = rows.filter(own).withColumn("place", F.when(place > 1, F.concat(F.lit("-"), place)).otherwise(F.lit("")))
+    name = lambda back: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn") - back)
+    arguments = F.struct("turn", F.col("text").alias("prompt"), F.when(F.col("turn") >= 2, F.concat(F.lit("$"), name(2))).alias("after"))
+    call = F.struct(F.concat(name(0), "place").alias("id"), F.when(F.col("turn") >= 2, F.lit("reply")).otherwise(F.lit("open")).alias("name"), arguments.alias("arguments"))
+    asked = F.to_json(F.struct(F.array(call).alias("tool_calls")))
+    given = F.to_json(F.struct(F.concat(name(1), "place").alias("tool_call_id"), F.struct("text").alias("content")))
+    user = F.col("role") == "user"
+    return mine.select("conv_id", "turn", F.when(user, F.lit("assistant")).otherwise(F.lit("tool")).alias("role"), F.when(user, asked).otherwise(given).alias("text")).unionByName(rows.filter(~own))
+
+
+def op3_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of conversations: calls with levels and results as of as_tool_messages, the rest as messages. Registered as format_chat."""
+    asks = [("prompt", "string", True), ("turn", "integer", True)]
+    schemas = spark.createDataFrame([("open", asks), ("reply", [*asks, ("after", "string", True)])], SCHEMA_COLUMNS)
+    return format_chat(as_tool_messages(table(spark, sf_dir, "conversations")), schemas)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
 
@@ -90,6 +117,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_tool_call_linking": op3_tool_call_linking,
+    "format_chat": op3_format_chat,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe": op5_bpe,
