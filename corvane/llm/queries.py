@@ -159,17 +159,17 @@ ORACLES: dict[str, str] = {
         FROM g""",
     "op9_exact_topk": """
         WITH x AS (
-            SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS v
+            SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS v
             FROM embeddings
             WHERE embedding IS NOT NULL
               AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id,
+            SELECT q.place, q.vec_id AS query_id, c.vec_id,
                    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-            FROM x q JOIN x c ON q.vec_id <> c.vec_id
+            FROM x q JOIN x c ON q.place <> c.place
             WHERE q.vec_id % 100 = 0
         ), r AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+            SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS rank FROM s
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
 }

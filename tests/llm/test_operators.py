@@ -1,8 +1,10 @@
 """Smaller operators against brute force, libraries or known answers, with odd and empty tables."""
 
+import fractions
 import gzip
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -79,9 +81,26 @@ def test_topk_equals_brute_force(spark):
         got = [tuple(r) for r in topk.exact_topk(df, q, 10, block=block, query_block=7).collect()]
         assert sorted(got) == sorted(want)
     few = topk.exact_topk(df.filter("vec_id < 4"), df.filter("vec_id = 0"), 10).collect()
+    assert [(r.query_id, r.vec_id) for r in topk.exact_topk(df.filter("size(embedding) = 0"), df.filter("size(embedding) = 0")).collect()] == []
     assert len(few) == 3 and topk.exact_topk(df.limit(0), q, 10).count() == 0 and topk.exact_topk(df, q.limit(0), 10).count() == 0
 
 
+def test_topk_repeated_ids_and_large_values(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1e30, 1.0]), (3, [0.5, 2.0]), (4, [-1e30, 5.0]), (5, [1.6e308, -1.6e308]), (6, [3e15, 1.0]), (7, [3e15, 2.0]), (8, [3e15, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = [[math.floor(fractions.Fraction(v) * 1024) for v in x] for _, x in rows]
+    for only in ("vec_id = 0", "vec_id = 2", "vec_id >= 4"):
+        want = []
+        for a, (i, _) in enumerate(rows):
+            if eval(only.replace(" = ", " == "), {"vec_id": i}):
+                s = [sum(p * q for p, q in zip(ints[a], ints[b], strict=True)) for b in range(len(rows))]
+                best = sorted((b for b in range(len(rows)) if b != a), key=lambda b: (-s[b], rows[b][0]))[:4]
+                want += [(i, r + 1, rows[b][0], max(-(2**63 - 1), min(2**63 - 1, s[b]))) for r, b in enumerate(best)]
+        for block in (2, 100):
+            got = [tuple(r) for r in topk.exact_topk(df, df.filter(only), 4, block=block).collect()]
+            assert sorted(got) == sorted(want), only
+
+
 # ---- secrets ---------------------------------------------------------------------------------------------
 def brute_spans(text):
     out = []
