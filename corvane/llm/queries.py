@@ -92,7 +92,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, folder = write_archives(table(spark, sf_dir, "pages"))
-    return read_records(capture_index(entries), folder).drop("payload", "url")
+    return read_records(capture_index(entries), folder).drop("payload", "url", "place")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,13 +149,13 @@ ORACLES: dict[str, str] = {
         FROM calls c FULL JOIN results r USING (conv_id, call_id)""",
     "op7_warc": """
         WITH p AS (
-            SELECT coalesce(page_id, 0) AS page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+            SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
         ), g AS (
             SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p
         )
         SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
-               CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to
+               CASE WHEN payload_bytes >= 1000 AND last IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND last IS DISTINCT FROM page_id THEN last END AS refers_to
         FROM g""",
     "op9_exact_topk": """
         WITH x AS (

@@ -209,7 +209,7 @@ def test_warc_round_trip(spark):
     entries, folder = warc.write_archives(pages)
     index = warc.capture_index(entries)
     keys = [(r.urlkey, r.seconds, r.page) for r in index.collect()]
-    assert keys == sorted(keys) and len(keys) == len(rows)
+    assert keys == sorted(keys) and [(r.urlkey, r.seconds, r.page) for r in index.orderBy("place").collect()] == keys and len(keys) == len(rows)
     got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_records(index, folder).collect())
     want = []
     for i, _, h in rows:
@@ -225,6 +225,18 @@ def test_warc_round_trip(spark):
     assert warc.read_records(warc.capture_index(e), f).count() == 0
 
 
+def test_warc_odd_ids(spark):
+    big, other = "<p>" + "z" * 1200, "<p>" + "o" * 1200
+    rows = [(None, "http://a.com/", big), (None, "http://a.com/", big), (0, "http://a.com/", big), (None, "http://b.com/", other), (None, "http://b.com/", other), (None, None, None),
+            (300_000_000_000, "u", "x"), (2**63 - 1, "u", "x"), (-(2**63), "u", "x"), (-5, "v", big)]
+    entries, folder = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = sorted(((r.page_id, r.url, r.record_type, r.refers_to) for r in warc.read_records(warc.capture_index(entries), folder).collect()), key=repr)
+    want = [(None, "http://a.com/", "revisit", 0)] * 2 + [(0, "http://a.com/", "response", None)] + [(None, "http://b.com/", "response", None)] * 2 + [(None, "", "response", None)]
+    want += [(i, "u", "response", None) for i in (300_000_000_000, 2**63 - 1, -(2**63))] + [(-5, "v", "revisit", 0)]
+    assert got == sorted(want, key=repr)
+    assert warc._stamp(-(10**15)) == "0001-01-01T00:00:00Z" and warc._stamp(10**15) == "9999-12-31T23:59:59Z" and warc._stamp(0) == "1970-01-01T00:00:00Z"
+
+
 # ---- HTML ------------------------------------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>T{i}</title><script>var t="</p>";</script></head><body><nav><ul><li><a href=/x>m{i}</a></li></ul></nav><div class="ad">buy {i}</div>
 <article><h1>Head {i}</h1><p>First&nbsp;&amp; <b>bold {i}<br><p>Second   {i} line</p><aside>side</aside><div id="comments"><p>reader {i}</p></div></article><footer>&copy; {i}</footer></body></html>"""
