@@ -5,7 +5,8 @@ also start earlier in the corpus (smaller doc_id, or earlier in the same documen
 overlapping repeated windows merge into maximal intervals, and the words inside them go.
 
 Plan: documents are dealt once, by ranges of doc_id ("chunks"), so chunk order is document order.
-Each chunk finds its own repeats and sends its distinct hashes, sorted and delta-coded, to hash
+The ranges are cut at quantiles of the text's bytes over doc_id, so a chunk holds about chunk_bytes
+however the ids lie. Each chunk finds its own repeats and sends its distinct hashes, sorted and delta-coded, to hash
 buckets. A bucket answers each chunk with one bit a hash: does an earlier chunk hold it? The chunks
 then read the same exchange again and apply the answers. So a hash travels once per chunk, never
 once per occurrence: a passage in a third of all documents costs a bucket one entry a chunk.
@@ -19,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.hashing import slices, text_buffers, window_hashes, word_hashes
 
 _U = np.uint64
+UNIT = 4096  # bytes that count as one when chunks are cut
 
 
 def pack(hashes: np.ndarray) -> tuple[int, bytes]:
@@ -160,6 +162,35 @@ def _apply(window: int, bucket_bits: int, keep_text: bool):
     return run
 
 
+def _chunks(docs: DataFrame, chunk_bytes: int) -> tuple[Column, int]:
+    """(chunk of a row by id and tie, bytes in all). Chunks follow the order (null ids first, id, tie).
+
+    Cut points are approximate quantiles over ids, each id counted about once for every UNIT bytes of
+    its texts, by a sketch of bounded size. An id (or null) that would fill several chunks is spread
+    over them by the tie; rows equal in id and text, and repeated ids beyond 2**53, stay in one.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    nameless, named = docs.agg(F.sum(F.when(F.col("id").isNull(), size)), F.sum(F.when(F.col("id").isNotNull(), size))).first()
+    nameless, named = nameless or 0, named or 0
+    before, n = -(-nameless // chunk_bytes), max(1, -(-named // chunk_bytes))
+    cuts: list[int] = []
+    if n > 1:
+        units = F.floor((size + F.rand(7) * UNIT) / UNIT)  # rounded up or down by chance, so small texts count in proportion
+        marks = docs.filter("id is not null").select("id", units.alias("units")).filter("units > 0").select("id", F.explode(F.sequence(F.lit(1).cast("long"), "units")))
+        cuts = marks.agg(F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []
+    ladder = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, len(cuts).bit_length())))])
+    marks = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
+
+    def below(holds):  # binary search: how many cuts hold
+        return F.aggregate(ladder, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & holds(F.try_element_at(marks, at + step)), at + step).otherwise(at))
+
+    place = F.conv(F.substring("tie", 1, 8), 16, 10).cast("long")
+    spread = lambda parts: F.shiftright(F.coalesce(place, F.lit(0).cast("long")) * parts, 32)
+    low, high = below(lambda c: c < F.col("id")), below(lambda c: c <= F.col("id"))
+    own = F.when(high - low <= 1, high).otherwise(low + 1 + spread(high - low))
+    return F.when(F.col("id").isNull(), spread(F.lit(before).cast("long"))).otherwise(own + before).cast("long"), nameless + named
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, keep_text: bool = True,
                    chunk_bytes: int = 16 << 20, bucket_windows: int = 1 << 21) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for every row: `kept` is the text left, words joined by one space.
@@ -170,14 +201,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     64-bit hashes: among N distinct windows about N*N/2**65 pairs agree by chance (one for 6e9).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    size, lo, hi = docs.agg(F.sum(F.octet_length("text")), F.min("id"), F.max("id")).first()
-    chunks = max(1, -(-(size or 0) // chunk_bytes))
-    bucket_bits = max(0, ((size or 0) // 6 // bucket_windows).bit_length())
-    lo, hi = lo or 0, hi or 0
-    width = max(1, -(-(hi - lo + 1) // chunks))
+    chunk, size = _chunks(docs, chunk_bytes)
+    bucket_bits = max(0, (size // 6 // bucket_windows).bit_length())
+    chunks = max(1, -(-size // chunk_bytes))
     tie = F.sha1("text")  # only orders rows of one doc_id
-    dealt = (docs.withColumn("chunk", F.coalesce(F.expr(f"(id - {lo}L) div {width}L"), F.lit(0).cast("long")))
-             .withColumn("tie", F.when(F.col("text").isNotNull(), tie)).repartition(max(1, chunks), "chunk"))
+    dealt = docs.withColumn("tie", F.when(F.col("text").isNotNull(), tie)).withColumn("chunk", chunk).repartition(chunks, "chunk")
     sent = dealt.sortWithinPartitions("chunk").mapInArrow(_send(window, bucket_bits), "bucket long, chunk long, width int, hashes binary")
     answers = (sent.repartition(1 << bucket_bits, "bucket").sortWithinPartitions("bucket", "chunk")
                .mapInArrow(_answer, "chunk long, bucket long, n long, bits binary"))
