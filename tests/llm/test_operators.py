@@ -254,6 +254,29 @@ def test_html_text(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_deep_and_long_pages(spark):
+    n = 50_000
+    deep = "<div>" * n + "deep text" + "</div>" * n
+    mixed = "<body>" + "<div><b>x " * 1200 + "<nav>gone<p>gone too</p></nav>kept<p>own line</p> tail" + "</b></div>" * 1200
+    many = "<article>" + "".join(f"<p>a{i}</p><h2>b{i}</h2>" for i in range(3000)) + "</article>"
+    more = "<article>" + "".join(f"<h3>c{i}</h3><p>d{i}</p>" for i in range(3000)) + "</article>"
+    rows = [(0, "http://d.org/", deep), (1, "http://d.org/1", mixed), (2, "http://l.org/", many), (3, "http://l.org/2", more), (4, "http://o.org/", "</section>" * n + "<span>" * n + "end"), (5, "http://o.org/", "<p>x" * n)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "deep text" and got[4] == "end" and got[5] == "\n".join(["x"] * n)
+    assert "gone" not in got[1] and got[1].split("\n")[-3:] == ["x kept", "own line", "tail"]
+    assert got[2] == "\n".join(f"a{i}\nb{i}" for i in range(3000)) and got[3] == "\n".join(f"c{i}\nd{i}" for i in range(3000))
+
+
+def test_unique_ids_and_classes_do_not_grow_the_template():
+    page = lambda i: html_extract.parse(f"<body><div id=menu-{i}>m</div><article id=a{i} class='post-{i}'>" + "".join(f"<p id=p{i}x{j}>{i}</p><h2 class=c{i}z{j}>h</h2>" for j in range(40)) + "</article></body>")
+    t = html_extract.fold(page(0))
+    sizes = []
+    for i in range(1, 120):
+        t = html_extract.merge(t, html_extract.fold(page(i)))
+        sizes.append(len(json.dumps(t)))
+    assert sizes[-1] < 2 * sizes[0] and "menu" in json.dumps(t)
+
+
 def test_template_knows_constants():
     pages = [html_extract.parse(f"<body><div class=x><p>Same line here</p><h3>t{i}</h3><span>v{i}</span></div></body>") for i in range(4)]
     t = html_extract.fold(pages[0])
