@@ -9,6 +9,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +319,13 @@ def test_quality_learns_and_scores_all(spark, docs_of, odd, empty):
     odd_scores = quality.score(odd, model).collect()
     assert len(odd_scores) == 9 and all(0 <= r.score <= 1 for r in odd_scores) and {r.score for r in odd_scores if not r.text} == {0.0}
     assert quality.score(empty, model).count() == 0 and quality.fit(docs, labels.limit(0)).base == 0.0
+    kept = quality.keep_good(odd, model)
+    assert kept.columns == odd.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r.doc_id) for r in odd_scores if r.predicted)
+    more = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit("zz")))).unionByName(docs)  # of rows that repeat an id the smallest text counts
+    again = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1, 0), (3, None, 0), (4, 7, 0)], labels.schema))
+    same = quality.fit(more, again, sample=100)
+    assert np.array_equal(same.table, model.table) and np.array_equal(same.out, model.out)
+    assert quality.fit(docs, labels, sample=100, sample_bytes=0).base == 0.0
 
 
 def test_chunks_cover_the_document():
@@ -325,6 +333,8 @@ def test_chunks_cover_the_document():
         data = np.ones(n, np.uint8)
         _, starts, ends, _ = quality.layout(data, np.array([0, n]))
         assert starts[0] == 0 and ends[-1] == n and all(b <= e for b, e in zip(starts[1:], ends[:-1], strict=True))
+        chunks, sizes, owner = quality.whole_chunks(pa.array(["", "x" * n, None]))
+        assert len(chunks) == len(starts) and set(owner) == {1} and sizes.tolist() == (ends - starts).tolist() and all((c[:k] & 255 == 120).all() and not c[k:].any() for c, k in zip(chunks, sizes, strict=True))
     assert quality.repeats(np.frombuffer(b"abcabcabcabcabcabc" + bytes(40), np.uint8)).any() and not quality.repeats(np.frombuffer(bytes(range(1, 120)), np.uint8)).any()
 
 
