@@ -1,8 +1,8 @@
 """Tool-call linking for chat records, in DataFrame operations only.
 
 Calls and results meet in a hash join on (conversation, call id). Calls are ordered topologically:
-an argument "$id" needs the result of call `id` of the same conversation, and a call's level is one
-more than the highest level it needs. Arguments are checked against a schema by name, and every
+an argument value "$id" (at any depth; not a key) needs the result of call `id` of the same
+conversation, and a call's level is one more than the highest level it needs. Arguments are checked against a schema by name, and every
 record is written as canonical JSON: keys sorted at every depth, no spaces.
 """
 
@@ -73,7 +73,7 @@ def levels(calls: DataFrame) -> DataFrame:
     """
     spark = calls.sparkSession
     ids = calls.select("conv_id", "call_id")
-    refs = (calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$([^"\\]+)"'), F.lit(1)))).alias("need"))
+    refs = (calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$([^"\\]+)"(?!\s*:)'), F.lit(1)))).alias("need"))
             .join(ids.withColumnRenamed("call_id", "need"), ["conv_id", "need"]))
     refs, refs_path = materialise(refs, "chat-refs")
     if refs.isEmpty():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import quality
 from corvane.llm.bpe import bpe_digests
-from corvane.llm.chat_format import SCHEMA_COLUMNS, format_chat, holds_calls, link_calls
+from corvane.llm.chat_format import SCHEMA_COLUMNS, format_chat, holds_calls
 from corvane.llm.decontaminate import contaminated
 from corvane.llm.html_extract import extract_text
 from corvane.llm.ngram_join import ngram_jaccard
@@ -36,17 +36,6 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn is a call of the tool `reply`, and the assistant turn after it is its result."""
-    rows = table(spark, sf_dir, "conversations")
-    name = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
-    arguments = F.to_json(F.struct("turn", F.col("text").alias("prompt")))
-    calls = rows.filter("role = 'user'").select("conv_id", "turn", F.lit(0).alias("pos"), name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"))
-    results = rows.filter("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.to_json(F.struct("text")).alias("content"))
-    params = [("prompt", "string", True), ("turn", "integer", True)]
-    return link_calls(calls, results, spark.createDataFrame([("reply", params)], SCHEMA_COLUMNS))
-
-
 def as_tool_messages(rows: DataFrame) -> DataFrame:
     """Messages for format_chat: user turns as calls, and the assistant turns after them as their results; all other rows as they are.
 
@@ -67,8 +56,8 @@ def as_tool_messages(rows: DataFrame) -> DataFrame:
     return mine.select("conv_id", "turn", F.when(user, F.lit("assistant")).otherwise(F.lit("tool")).alias("role"), F.when(user, asked).otherwise(given).alias("text")).unionByName(rows.filter(~own))
 
 
-def op3_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of conversations: calls with levels and results as of as_tool_messages, the rest as messages. Registered as format_chat."""
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of conversations: calls with levels and results as of as_tool_messages, the rest as messages."""
     asks = [("prompt", "string", True), ("turn", "integer", True)]
     schemas = spark.createDataFrame([("open", asks), ("reply", [*asks, ("after", "string", True)])], SCHEMA_COLUMNS)
     return format_chat(as_tool_messages(table(spark, sf_dir, "conversations")), schemas)
@@ -117,7 +106,6 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_tool_call_linking": op3_tool_call_linking,
-    "format_chat": op3_format_chat,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe": op5_bpe,
@@ -129,24 +117,36 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_tool_call_linking": """
-        WITH calls AS (
-            SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, min(text) AS text
-            FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+        WITH r AS (
+            SELECT conv_id, turn, role, text, role IN ('user', 'assistant') AND conv_id IS NOT NULL AND turn IS NOT NULL AS own,
+                   row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY text NULLS FIRST) AS place FROM conversations
+        ), n AS (
+            SELECT *, CASE WHEN place > 1 THEN '-' || place ELSE '' END AS tail FROM r WHERE own
+        ), steps AS (
+            SELECT conv_id, turn, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island
+            FROM (SELECT DISTINCT conv_id, turn FROM n WHERE role = 'user')
+        ), levels AS (
+            SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS INTEGER) AS level FROM steps
+        ), calls AS (
+            SELECT conv_id, turn, level, text, 'c' || conv_id || '-' || turn || tail AS call_id, CASE WHEN turn >= 2 THEN 'reply' ELSE 'open' END AS name,
+                   CASE WHEN turn >= 2 THEN '"after":"$c' || conv_id || '-' || (turn - 2) || '",' ELSE '' END AS after
+            FROM n JOIN levels USING (conv_id, turn) WHERE role = 'user'
         ), results AS (
-            SELECT conv_id, turn, 'c' || conv_id || '-' || (turn - 1) AS call_id, min(text) AS text
-            FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+            SELECT conv_id, turn, text, 'c' || conv_id || '-' || (turn - 1) || tail AS call_id FROM n WHERE role = 'assistant'
         )
         SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn,
-               CASE WHEN c.call_id IS NOT NULL THEN 'call' ELSE 'result' END AS kind,
-               CASE WHEN c.call_id IS NOT NULL THEN 0 END AS level,
+               CASE WHEN c.call_id IS NOT NULL THEN 'call' ELSE 'result' END AS kind, level,
                c.call_id IS NOT NULL AND r.call_id IS NOT NULL AS linked,
                CASE WHEN c.call_id IS NULL THEN 'no call' WHEN c.text IS NULL THEN 'missing:prompt' ELSE '' END AS complaint,
-               '{"arguments":' || CASE WHEN c.call_id IS NULL THEN 'null' WHEN c.text IS NULL THEN '{"turn":' || c.turn || '}'
-                                       ELSE '{"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '}' END
-               || ',"id":"' || coalesce(c.call_id, r.call_id) || '","name":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE '"reply"' END
+               '{"arguments":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE '{' || c.after || coalesce('"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',', '') || '"turn":' || c.turn || '}' END
+               || ',"id":"' || coalesce(c.call_id, r.call_id) || '","name":' || coalesce('"' || c.name || '"', 'null')
                || ',"result":' || CASE WHEN r.call_id IS NULL THEN 'null' WHEN r.text IS NULL THEN '{}'
                                        ELSE '{"text":' || CAST(to_json(r.text) AS VARCHAR) || '}' END || '}' AS json
-        FROM calls c FULL JOIN results r USING (conv_id, call_id)""",
+        FROM calls c FULL JOIN results r USING (conv_id, call_id)
+        UNION ALL
+        SELECT conv_id, NULL, turn, 'message', NULL, FALSE, '',
+               '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}'
+        FROM r WHERE own IS NOT TRUE""",
     "op7_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages

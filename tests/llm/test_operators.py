@@ -366,21 +366,21 @@ def test_format_chat_query_reads_every_row(spark, tmp_path):
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", None), (1, 4, "assistant", None), (1, 5, "user", "c"), (2, 0, "user", "one"), (2, 0, "user", "two"), (2, 1, "assistant", "three"),
             (2, 1, "assistant", "four"), (2, 1, "assistant", "five"), (3, 0, None, "x"), (3, 1, "tool", "not json"), (3, 2, "assistant", real), (None, 1, "user", "lost"), (4, None, "assistant", "lost"), (4, 3, "user", "late")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = queries.QUERIES["format_chat"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["op3_tool_call_linking"](spark, str(tmp_path)).collect()
     assert sum(1 + r.linked for r in got) == len(rows)
     calls = {r.call_id: (r.level, r.linked, r.complaint) for r in got if r.kind == "call"}
     assert calls == {"c1-1": (0, True, ""), "c1-3": (1, True, "missing:prompt"), "c1-5": (2, False, ""), "c2-0": (0, True, ""), "c2-0-2": (0, True, ""), "r": (0, False, "type:turn"), "c4-3": (0, False, "")}
     assert [r.call_id for r in got if r.kind == "result"] == ["c2-0-3"]
     assert sorted(json.loads(r.json)["content"] for r in got if r.kind == "message") == ["be kind", "lost", "lost", "not json", "x"]
-    assert not re.search("Python|Pandas|Arrow", queries.QUERIES["format_chat"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString())
+    assert not re.search("Python|Pandas|Arrow", queries.QUERIES["op3_tool_call_linking"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString())
 
 
 def test_levels_of_chains_branches_and_cycles(spark):
     needs = {f"n{i}": [f"n{i - 1}"] if i else [] for i in range(40)}
-    needs |= {"m": ["n7", "n39"], "k": ["m"], "x": ["y"], "y": ["z"], "z": ["x"], "u": ["x"], "v": ["u", "n0"], "w": ["m", "k", "gone"], "s": ["s"]}
-    calls = spark.createDataFrame([(1, i, json.dumps({"a": ["$" + n for n in ns]})) for i, ns in needs.items()], "conv_id long, call_id string, arguments string")
+    needs |= {"only a key": [], "m": ["n7", "n39"], "k": ["m"], "x": ["y"], "y": ["z"], "z": ["x"], "u": ["x"], "v": ["u", "n0"], "w": ["m", "k", "gone"], "s": ["s"]}
+    calls = spark.createDataFrame([(1, i, json.dumps({"a": ["$" + n for n in ns], "$n5": {"$n6": 1}, "t": 'say "$n7"'})) for i, ns in needs.items()], "conv_id long, call_id string, arguments string")
     got = {r.call_id: r.level for r in chat_format.levels(calls).collect()}
-    assert got == {f"n{i}": i for i in range(40)} | {"m": 40, "k": 41, "w": 42} | dict.fromkeys("xyzuvs")
+    assert got == {f"n{i}": i for i in range(40)} | {"only a key": 0, "m": 40, "k": 41, "w": 42} | dict.fromkeys("xyzuvs")
 
 
 def test_native_plan(spark):
