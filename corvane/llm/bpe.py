@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 END = "</w>"
 KEPT_WORDS = 300_000  # words whose encoding a task remembers; then it starts anew
+KEPT_PAIRS = 2_000_000  # pairs of tokens, likewise
 
 
 def byte_letters() -> list[str]:
@@ -195,10 +196,16 @@ class WordBpe:
             return [w for i, part in enumerate(self.cut.split(text)) for w in ([part] if i % 2 else self.pieces(part))]
         return text.split() if not any(c in text for c in _CONTROLS) else re.split(f"[{_SPACES}]+", text)
 
+    def decoded(self, ids: str) -> str:
+        """The text of decimal ids joined by one space: token texts joined likewise, as the file names no decoder. Unknown ids have none."""
+        return " ".join([self.tokens[i] for i in map(int, ids.split()) if i in self.tokens])
+
     def encode_batch(self, texts: list[str]) -> Iterator[list[str]]:
-        """The pieces of each text; id_text and token_text then hold the encoding of every piece."""
+        """The pieces of each text; id_text then holds the encoding of every piece, and token_text what its ids decode to."""
         if len(self.id_text) > KEPT_WORDS:
             self.reset()
+        if sum(map(len, self.pairs.values())) > KEPT_PAIRS:
+            self.pairs.clear()
         split = [self.pieces(t) for t in texts]
         new = set().union(*split).difference(self.id_text)
         parts = {w: self.normalised(w) for w in new if w not in self.special}
@@ -206,12 +213,14 @@ class WordBpe:
         for w in new:
             words = parts.get(w)
             if words is None:
-                self.id_text[w], self.token_text[w] = str(self.special[w]), w
+                self.id_text[w] = str(self.special[w])
+                self.token_text[w] = self.decoded(self.id_text[w])
             elif len(words) == 1:
-                self.id_text[w], self.token_text[w] = self.learnt[words[0]]
+                self.id_text[w] = self.learnt[words[0]][0]
+                self.token_text[w] = self.decoded(self.id_text[w])
             elif words:
                 self.id_text[w] = " ".join([self.learnt[x][0] for x in words])
-                self.token_text[w] = " ".join([self.learnt[x][1] for x in words])
+                self.token_text[w] = self.decoded(self.id_text[w])
             else:
                 self.id_text[w] = self.token_text[w] = ""
                 self.blank.add(w)
@@ -250,7 +259,7 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            text = [" ".join([bpe.tokens[i] for i in ids or () if i in bpe.tokens]) for ids in batch.column("ids").to_pylist()]
+            text = [bpe.decoded(" ".join(map(str, ids or ()))) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(text, pa.string())], ["id", "text"])
 
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.components import components
 from corvane.llm.hashing import shingle_sets, slices, text_buffers
-from corvane.llm.shared import discard, materialise
+from corvane.llm.shared import discard, materialise, unused_name
 
 SKETCH_BITS = 17  # 2**17 counters, whatever the size of the input
 BLOCK_ROWS = 4096  # counters of one sketch row
@@ -448,3 +448,18 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return named.join(least, "c", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("least", "id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """One row of each group of linked texts, all columns as they were: that with the smallest id, null ids last.
+
+    Rows are judged one by one: rows that repeat an id with unlike texts all stay, and rows without an
+    id go where another row is a copy. Of rows that share the smallest id one stays. Texts without words
+    link with nothing, so their rows stay. An empty table gives an empty result.
+    """
+    row = unused_name(docs, "row")
+    rows, _ = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "ngram-rows")  # numbers that stay the same from here on
+    groups = ngram_jaccard(rows, row, text_col, k, percent).select(F.col(row).alias("row"), F.col("component_id").alias("group"))
+    named = rows.select(F.col(row).alias("row"), F.col(id_col).alias("id")).join(groups, "row")
+    first = named.groupBy("group").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias(row)).select(row)
+    return rows.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

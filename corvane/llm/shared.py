@@ -41,9 +41,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+_MADE: list[str] = []  # tables of materialise() that stand
+
+
 def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
     path = new_path(df.sparkSession, tag)
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -53,3 +57,16 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def standing() -> list[str]:
+    """The tables of materialise() that were not discarded."""
+    return list(_MADE)
+
+
+def unused_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for i in range(len(taken) + 1) if (n := f"{stem}_{i}") not in taken)

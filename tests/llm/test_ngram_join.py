@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from corvane.llm.hashing import shingle_sets, text_buffers
-from corvane.llm.ngram_join import PART, Tree, bitmap_of, dual, fold, linked, need_overlap, ngram_jaccard
+from corvane.llm.ngram_join import PART, Tree, bitmap_of, dual, fold, linked, need_overlap, ngram_jaccard, one_of_each_group
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -112,3 +112,14 @@ def test_shingles_match_words():
     data, offs = text_buffers(pa.array(texts))
     s = shingle_sets(data, offs)
     assert [len(x) for x in s] == [len(shingles(t)) for t in texts] and (s[0] == s[1]).all()
+
+
+def test_one_of_each_group(docs_of, odd, empty):
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(7, same), (3, same + " thirteen"), (None, same), (None, "alone without any id here"), (5, "quite another text of six words"), (5, same.upper()), (5, "and a third one under this id"), (8, None), (9, ""), (None, None), (3, same + " thirteen")]
+    docs = docs_of(rows).withColumn("row_0", F.lit("mine"))
+    got = one_of_each_group(docs)
+    assert got.columns == docs.columns
+    want = [(3, same + " thirteen"), (None, "alone without any id here"), (5, "quite another text of six words"), (5, "and a third one under this id"), (8, None), (9, ""), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str) and {r.row_0 for r in got.collect()} == {"mine"}
+    assert one_of_each_group(odd).count() == 7 and one_of_each_group(empty).count() == 0

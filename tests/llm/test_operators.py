@@ -184,6 +184,38 @@ def test_tiles_equal_brute_force():
         if len(doc) > 30:
             doc[3 : 3 + len(item) // 2] = item[len(item) - len(item) // 2 :]
         assert sum(t[2] for t in decontaminate.tile(doc, item, 3)) == brute_tiles(doc.tolist(), item.tolist(), 3)
+    same = np.zeros(1500, np.uint64)
+    assert decontaminate.tile(same, same[:700], 5) == [(0, 0, 700)]
+
+
+def test_contaminated_equals_brute_force(spark, docs_of):
+    """The whole query on a fixture: seeds, filter, joins and coverage against tiling of every document with every item."""
+    rng = random.Random(8)
+    words = lambda n: [rng.choice("abcdefghijklmnopqrst") + str(rng.randrange(30)) for _ in range(n)]
+    items = [(i, words(rng.choice([1, 3, 5, 8, 20, 40]))) for i in range(25)] + [(25, []), (26, ["a1"] * 12)]
+    rows = []
+    for i in range(150):
+        doc = words(rng.randrange(60))
+        for _ in range(rng.randrange(3)):
+            item = rng.choice(items)[1]
+            cut = rng.randrange(len(item) + 1)
+            doc[rng.randrange(len(doc) + 1) : 0] = item[cut:] + rng.choice([[], words(4)]) + item[:cut]  # whole, or as two parts the other way round
+        rows.append((i if i % 10 else None if i % 20 else 5, " ".join(w.upper() if rng.random() < 0.2 else w + rng.choice(["", "", "!"]) for w in doc)))
+    code = {}
+    number = lambda ws: np.array([code.setdefault(w, len(code)) for w in ws], np.uint64)
+    want = set()
+    for i, t in rows:
+        doc = number([w.lower().rstrip("!") for w in t.split()])
+        for j, ws in items:
+            if ws and (got := brute_tiles(doc.tolist(), number(ws).tolist(), 5)) >= 0.6 * len(ws) and got:
+                want.add((i, j, len(ws), got, t))
+    bench = spark.createDataFrame([(j, " ".join(ws)) for j, ws in items], "item_id long, text string")
+    docs = docs_of(rows)
+    got = {(r.doc_id, r.item_id, r.n_words, r.n_covered) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert len(want) > 30 and got == {w[:4] for w in want}
+    kept = decontaminate.without_benchmark(docs, bench)
+    bad = {w[4] for w in want}
+    assert kept.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(i), t) for i, t in rows if t not in bad)
 
 
 def test_contaminated(spark, docs_of, odd, empty):
