@@ -7,49 +7,50 @@ Parquet in the shared folder and read again, so a lost executor costs at most on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import quality
 from corvane.llm.bpe import bpe_encode
-from corvane.llm.decontaminate import contaminated
-from corvane.llm.ngram_join import ngram_jaccard
+from corvane.llm.decontaminate import without_benchmark
+from corvane.llm.ngram_join import one_of_each_group
 from corvane.llm.queries import table, tokenizer_path
 from corvane.llm.secrets import mask_secrets
-from corvane.llm.shared import materialise, prepare
+from corvane.llm.shared import discard, materialise, prepare, standing
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. It learns from the labels of documents that are not held out."""
+    """Rows that the classifier does not reject. It learns from the labels of documents that are not held out.
+
+    Every row is judged by its text alone, whatever its id; null and empty texts score 0 and go. All
+    columns stay as they were, also those named like the classifier's. Without labels the model is
+    blank and keeps every text that is not empty; an empty table stays empty.
+    """
     prepare(spark)
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of rows that repeat it, the one with the smallest text. Rows without an id stay."""
+    """One row of each group of near copies, that with the smallest doc_id; see one_of_each_group for null and repeated ids and empty texts."""
     prepare(spark)
-    keep = ngram_jaccard(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("__row", F.row_number().over(once)).filter("__row = 1").drop("__row")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return one_of_each_group(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Rows whose text holds no benchmark item. Null and empty texts hold none; ids, null or repeated, decide nothing. An empty benchmark drops nothing."""
     prepare(spark)
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secret values masked, n_chars counted anew."""
+    """All rows, secret values masked in the text; n_chars, where there is such a column, counted anew. Null and empty texts stay as they are."""
     prepare(spark)
-    return mask_secrets(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    masked = mask_secrets(docs)
+    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document."""
+    """(doc_id, n_tokens, ids) of every row; null and empty texts have no tokens, null and repeated ids stay as they are."""
     prepare(spark)
     return bpe_encode(docs, tokenizer_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -65,10 +66,13 @@ ORACLE_SQL = None  # a trained network and similarity groups are beyond SQL; tes
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. What a stage has written goes once the next stage's rows stand."""
     docs = table(spark, sf_dir, "documents")
+    earlier = set(standing())
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs, _ = materialise(docs, name.replace(" ", "-"))
+            docs, path = materialise(docs, name.replace(" ", "-"))
+            for old in set(standing()) - earlier - {path}:
+                discard(spark, old)
     return docs
