@@ -112,7 +112,7 @@ def test_sql_oracles(spark):
     from corvane.llm import queries
 
     c = duckdb.connect()
-    for t in ("conversations", "pages", "embeddings"):
+    for t in ("conversations", "documents", "pages", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, SF)
