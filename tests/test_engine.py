@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from corvane.engine import Engine, collection_name, identity
 from corvane.operators import catalog, chunking, evaluation, incremental, ranking, retrieval, trace
 from corvane.sources.files import directory, preview, read_tree, select_files
-from corvane.sources.index_store import IndexStore
+from corvane.sources.index_store import IndexStore, WriterConflict
 from corvane.streaming import tracker
 
 FILES = [
@@ -142,6 +142,29 @@ def test_store_versions(spark, tmp_path):
     assert s.collections() == []
 
 
+def test_store_survives_crashes_and_other_writers(spark, tmp_path):
+    rows = lambda *paths: spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "relative_path string, n int")
+    paths = lambda df: sorted(r.relative_path for r in df.collect())
+    s = IndexStore(spark, str(tmp_path))
+    s.commit("k", rows("a", "b", "c"))
+    held = s.read("k")  # a reader that started before the next commits
+    s._write("k", rows("lost"))  # a writer that dies before its manifest
+    assert paths(s.read("k")) == ["a", "b", "c"]
+    (tmp_path / "k" / "manifest-000000000002.json").write_text('{"gen')  # one that dies within it
+    assert paths(s.read("k")) == ["a", "b", "c"]
+    with pytest.raises(WriterConflict):
+        s.commit("k", rows("x"))
+    (tmp_path / "k" / "manifest-000000000002.json").unlink()
+    first = s.manifest("k")["parts"]
+    new = s.update("k", rows("b"), rows("d"), note="n")
+    assert paths(s.read("k")) == ["a", "c", "d"] and new["generation"] == 2 and new["note"] == "n" and paths(held) == ["a", "b", "c"]
+    assert [b for b in first if new["parts"].get(b) == first[b]]  # untouched buckets are the old folders
+    for p in "efg":
+        s.update("k", rows(), rows(p)) if p != "e" else s.update("k", rows("none"), rows(p))
+    assert paths(s.read("k")) == ["a", "c", "d", "e", "f", "g"] and len([f for f in (tmp_path / "k").iterdir() if f.name.startswith("manifest")]) == 2
+    assert s.update("k", rows("a", "c", "d", "e", "f", "g"), rows())["parts"] == {} and s.row_count("k") == 0 and s.read("k").columns == ["relative_path", "n"]
+
+
 def test_tracking_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     ev = spark.createDataFrame([("c", "a", "change", 1), ("c", "a", "change", 2), ("c", "b", "change", 3), ("d", None, "overflow", 4)], "codebase string, path string, kind string, version long")
