@@ -135,6 +135,20 @@ def signature(content: Column, wide: bool) -> Column:
     return out
 
 
+# How a definition starts in its first line.
+OPENINGS = [
+    rf"(export\s+)?(default\s+)?(abstract\s+)?(class|interface|function|type|enum|const|let|var)\s+{_WORD}\b", r"(async\s+)?def\s+[A-Za-z_]\w*\s*\(", r"func\s+(\([^)]+\)\s*)?[A-Za-z_]\w*\s*\(",
+    r"(pub(\([^)]*\))?\s+)?(async\s+)?fn\s+[A-Za-z_]\w*\s*\(",
+    rf"(public|private|protected|internal|static|final|abstract|override|virtual|async|sealed|synchronized|\s)*([A-Za-z_$][A-Za-z0-9_$<>\[\],.?]*\s+)+{_WORD}\s*\(",
+]
+
+
+def opens_definition(content: Column) -> Column:
+    """Does the first line that is neither blank nor a // or block comment start a definition?"""
+    first = F.get(F.filter(F.transform(lines(content), trimmed), lambda s: (s != "") & ~s.rlike(r"^(//|\*|/\*)")), F.lit(0))
+    return F.coalesce(first.rlike("^(" + "|".join(OPENINGS) + ")"), F.lit(False))
+
+
 def definition_signatures(content: Column) -> Column:
     """Distinct kind:name of all declarations at the start of a line."""
     found = F.transform(lines(content), lambda s: F.when(F.regexp_extract(s, DECLARES, 2) != "", F.concat_ws(":", F.regexp_extract(s, DECLARES, 1), F.regexp_extract(s, DECLARES, 2))))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import ast
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,54 +79,54 @@ ONE_LINE = {"package_clause", "package_declaration", "export_statement", "use_de
 _COMPILED = {f: [(n, re.compile(p)) for n, p in rules] for f, rules in STARTS.items()}
 
 
-def _indent(line: str) -> int:
-    return sum(4 if c == "\t" else 1 for c in line[: len(line) - len(line.lstrip())])
-
-
-def _comment(line: str) -> bool:
-    return line.startswith(("//", "#", "/*", "*")) or line.endswith("*/")
-
-
-def _block_end(rows: list[str], start: int, kind: str, family: str) -> int:
-    if kind in ONE_LINE or (family == "script" and kind == "lexical_declaration" and rows[start].rstrip().endswith(";")):
-        return start
-    if family == "python":
-        own = _indent(rows[start])
-        body = (i for i in range(start + 1, len(rows)) if rows[i].strip() and not _comment(rows[i].strip()) and _indent(rows[i]) <= own)
-        return next(body, len(rows)) - 1
-    depth, opened = 0, False
-    for i in range(start, len(rows)):
-        depth += rows[i].count("{") - rows[i].count("}")
-        opened |= "{" in rows[i]
-        if opened and depth <= 0:
-            return i
-        if not opened and i > start and rows[i].strip():
-            return i - 1
-    return start
-
-
-def _with_comments(rows: list[str], start: int) -> int:
-    first, at, seen = start, start - 1, False
-    while at >= 0:
-        line = rows[at].strip()
-        if _comment(line) if line else seen:
-            seen, first = True, at
-            at -= 1
-        else:
-            break
-    while first < start and not rows[first].strip():
-        first += 1
-    return first
+class Layout:
+    """The lines of a file as arrays, from which the extent of every declaration follows without walking them again."""
+
+    def __init__(self, rows: list[str]):
+        self.rows = rows
+        bare = [r.strip() for r in rows]
+        self.blank = np.array([not r for r in bare], bool)
+        self.note = np.array([r.startswith(("//", "#", "/*", "*")) or r.endswith("*/") for r in bare], bool)
+        self.indent = np.array([sum(4 if c == "\t" else 1 for c in r[: len(r) - len(r.lstrip())]) for r in rows], np.int64)
+        self.opens = np.array(["{" in r for r in rows], bool)
+        self.depth = np.cumsum([r.count("{") - r.count("}") for r in rows])  # after each line
+        place = np.arange(len(rows))
+        # the comments above a line begin with the first of them behind the last line of code; a blank line right above cuts them off
+        code = np.maximum.accumulate(np.where(self.blank | self.note, -1, place))
+        notes = np.flatnonzero(self.note)
+        first = notes[np.minimum(np.searchsorted(notes, code, "right"), len(notes) - 1)] if len(notes) else place
+        self.lead = place.copy()
+        self.lead[1:] = np.where(self.note[:-1], first[:-1], place[1:])
+
+    def first(self, holds: np.ndarray, start: int, missing: int) -> int:
+        found = np.flatnonzero(holds[start:])
+        return start + int(found[0]) if len(found) else missing
+
+    def end(self, start: int, kind: str, family: str) -> int:
+        """Last line of the declaration that starts here: by indentation for Python, else where its braces close again, or before the next text if it opens none."""
+        last = len(self.rows)
+        if kind in ONE_LINE or (family == "script" and kind == "lexical_declaration" and self.rows[start].rstrip().endswith(";")):
+            return start
+        if family == "python":
+            return self.first(~self.blank & ~self.note & (self.indent <= self.indent[start]), start + 1, last) - 1
+        head = start if self.opens[start] else self.first(~self.blank, start + 1, last)
+        if head == last:
+            return start
+        if not self.opens[head]:
+            return head - 1
+        before = self.depth[start - 1] if start else 0
+        return self.first(self.depth <= before, head, start)
 
 
 def _split_large(text: str, start: int, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
     """Pieces on line boundaries with the tail of the piece before in front: (start line, end line, text)."""
-    pieces, cur, at = [], [], start
+    pieces, cur, at, held = [], [], start, -1
     for i, line in enumerate(text.split("\n")):
-        if cur and len("\n".join([*cur, line])) > size:
+        if cur and held + 1 + len(line) > size:
             pieces.append((at, start + i - 1, "\n".join(cur).strip()))
-            cur, at = [], start + i
+            cur, at, held = [], start + i, -1
         cur.append(line)
+        held += 1 + len(line)
     pieces.append((at, start + text.count("\n"), "\n".join(cur).strip()))
     before = ""
     for a, b, own in pieces:
@@ -135,16 +137,17 @@ def _split_large(text: str, start: int, size: int, overlap: int) -> Iterator[tup
 
 def declarations(code: str, lang: str) -> list[tuple[str, int, int]]:
     """(node type, first line, last line), 0-based; comments above a declaration belong to it."""
-    family, rows, out, taken = FAMILY.get(lang), code.split("\n"), [], set()
-    for i, line in enumerate(rows):
-        short = line.strip()
-        if not family or not short or (family == "script" and _indent(line)):
-            continue
+    family, rows = FAMILY.get(lang), code.split("\n")
+    if not family:
+        return []
+    layout, found = Layout(rows), {}
+    candidates = np.flatnonzero(~layout.blank & (layout.indent == 0)) if family == "script" else np.flatnonzero(~layout.blank)
+    for i in candidates.tolist():
+        short = rows[i].strip()
         kind = next((n for n, p in _COMPILED[family] if p.match(short)), None)
-        if kind and (first := _with_comments(rows, i)) not in taken:
-            taken.add(first)
-            out.append((kind, first, _block_end(rows, i, kind, family)))
-    return out
+        if kind:  # of declarations under one comment the first counts
+            found.setdefault(int(layout.lead[i]), (kind, int(layout.lead[i]), layout.end(i, kind, family)))
+    return list(found.values())
 
 
 def python_nodes(code: str) -> list[tuple[str, int, int]] | None:
@@ -153,11 +156,11 @@ def python_nodes(code: str) -> list[tuple[str, int, int]] | None:
         tree = ast.parse(code)
     except (SyntaxError, ValueError, RecursionError):
         return None
-    rows, out = code.split("\n"), []
+    lead, out = Layout(code.split("\n")).lead, []
     for n in ast.walk(tree):
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             top = min([n.lineno, *(d.lineno for d in n.decorator_list)]) - 1
-            out.append(("class_definition" if isinstance(n, ast.ClassDef) else "function_definition", _with_comments(rows, top), n.end_lineno - 1))
+            out.append(("class_definition" if isinstance(n, ast.ClassDef) else "function_definition", int(lead[top]), n.end_lineno - 1))
     return sorted(out, key=lambda x: (x[1], -x[2]))
 
 
@@ -168,22 +171,25 @@ def split_text(text: str, size: int, overlap: int, separators: list[str] = SEPAR
     """Recursive character split: at paragraphs, else lines, else words, else characters; pieces are merged up to size."""
     sep = next((s for s in separators if s == "" or s in text), "")
     finer = separators[separators.index(sep) + 1 :]
-    out, cur = [], []
-    for part in text.split(sep) if sep else list(text):
+    out: list[str] = []
+    cur, held = deque(), 0  # parts of the piece under way, and its length
+
+    for part in text.split(sep) if sep else text:
         if len(part) > size and finer:
-            if cur:
-                out.append(sep.join(cur))
-                cur = []
+            out += [sep.join(cur)] if cur else []
+            cur.clear()
+            held = 0
             out += split_text(part, size, overlap, finer)
             continue
-        while cur and len(sep.join([*cur, part])) > size:
-            if len(out) == 0 or out[-1] != sep.join(cur):
-                out.append(sep.join(cur))
-            while cur and (len(sep.join(cur)) > overlap or len(sep.join([*cur, part])) > size):
-                cur.pop(0)
+        grown = lambda: held + len(part) + (len(sep) if cur else 0)
+        if cur and grown() > size:
+            piece = sep.join(cur)
+            out += [piece] if not out or out[-1] != piece else []  # what only stayed as overlap is there already
+            while cur and (held > overlap or grown() > size):
+                held -= len(cur.popleft()) + (len(sep) if cur else 0)
+        held = grown()
         cur.append(part)
-    if cur:
-        out.append(sep.join(cur))
+    out += [sep.join(cur)] if cur else []
     return [p for p in (x.strip() for x in out) if p]
 
 

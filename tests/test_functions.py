@@ -74,7 +74,25 @@ def test_filter_language(spark):
 def test_query_analysis():
     q = analyse("where is getUserById defined in tests for user_service.py")
     assert "getUserById" in q.anchors and "userService" not in q.anchors and "test" in q.roles
-    assert identifier_variants("user_id") == ["UserID", "userID"] and singular("queries") == "query" and analyse("main.go").filename == "main.go"
+    assert identifier_variants("user_id") == ["user", "UserID", "userID"] and singular("queries") == "query" and analyse("main.go").filename == "main.go"
+    assert q.weak == ["where", "defined", "for"] and "tests" in q.scoring and "UserService" in analyse("user_service").scoring and identifier_variants("security") == ["Security", "secure", "Secure"]
+    r = analyse("GET /api/v1/users/list of MAX_SIZE")
+    assert r.routes == [("/api/v1/users/list", "/api", "/v1/users/list"), ("/api/v1/users/list", "/v1", "/users/list")] and "/v1/users/list" in r.scoring and r.literals == ["/api/v1/users/list", "MAX_SIZE"]
+    assert analyse("src/core/userFile-name").anchors[:3] == ["src/core/userFile-name", "userFile-name", "src"] and analyse("bootstrap state").phrases == [] and analyse("start state").phrases == ["startup"]
+    assert analyse("command registration").recall[:4] == ["command", "Command", "commands", "Commands"] and analyse("the players queries").structure == ["queries", "query", "queri", "querie"]
+
+
+def test_structure_and_owner(spark):
+    from corvane.operators.lexical import names_path, owner_signal, structure_score
+
+    q = analyse("user service tests in src/api")
+    rows = [("src/api/UserService.ts", "export class UserService {}", "definition", ["path_match"], 1.0), ("src/x/user.ts", "user", "re_export", ["reference_match"], 200.0),
+            ("tests/user_services.ts", "// note\nfunction f() {", "test_case", ["exact_filename", "reference_match"], 1.0), ("a.ts", "", None, [], 1.0)]
+    df = spark.createDataFrame(rows, "p string, c string, r string, why array<string>, s double")
+    got = values(spark, rows, df.schema, structure_score(F.col("r"), F.col("p"), F.col("c"), F.col("why"), q))
+    assert got == [140 + 90 + 32 + 8 + 60, -140 - 20, -80 + 90 + 32 + 60, 0]
+    assert values(spark, rows, df.schema, names_path(F.col("p"), q)) == [True, False, False, False]
+    assert values(spark, rows, df.schema, owner_signal(F.col("why"), F.col("s"), F.col("c"), F.col("p"), q)) == [1, 1, 0, 2]
 
 
 def test_ignore_rules(spark):
@@ -100,12 +118,19 @@ def test_phrases(spark):
     from corvane.operators.lexical import lexical_score, phrase_score
 
     terms = analyse("where are commands registered centrally for the cli")
-    assert "command_registration" not in terms.phrases and analyse("command registration owner").phrases == ["owner_registry", "command_registration"]
+    assert "commands" not in terms.phrases and analyse("command registration owner").phrases == ["owner", "commands"]
     none = F.array().cast("array<string>")
     df = spark.createDataFrame([("src/cmd/root.go", "register the command here"), ("a/b.go", "register the command"), ("a/c.go", "nothing")], "relative_path string, content string")
     df = df.withColumn("path_tokens", none).withColumn("symbols", none).withColumn("definition_identifiers", none).withColumn("content_definitions", none).withColumn("file_role", F.lit("implementation"))
-    assert [r[0] for r in df.select(phrase_score(["command_registration"])).collect()] == [240, 150, 0]
+    assert [r[0] for r in df.select(phrase_score(["commands"])).collect()] == [240, 150, 0]
     assert [r[0] > 0 for r in df.select(lexical_score(analyse("command registration owner"))[0]).collect()] == [True, True, False]
+    said = [("cmd/startup.go", "x", 220), ("a.go", "dispatch the environment commands", 240), ("a.go", "global state", 0), ("a/router.go", "r.Group(x)", 220), ("a/route.go", "app.GET ('x')", 180), ("a.go", "app.GET('x')", 0),
+            ("m.go", "func pick() {\n switch apiType {", 260), ("m.go", "// x\ncase 1: switch apiType {", 190), ("my/adaptor.go", "x", 260), ("q.go", "map of adapters", 140)]
+    of = {"startup": said[:3], "grouped routes": said[3:4], "registered routes": said[4:6], "mapping": said[6:8], "adapters": said[8:]}
+    for name, rows in of.items():
+        df = spark.createDataFrame([r[:2] for r in rows], "relative_path string, content string")
+        df = df.withColumn("path_tokens", none).withColumn("symbols", none).withColumn("definition_identifiers", none)
+        assert [r[0] for r in df.select(phrase_score([name])).collect()] == [r[2] for r in rows], name
 
 
 def test_follow_up_symbols(spark):
