@@ -6,7 +6,7 @@ import hashlib
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import paths as P
@@ -47,7 +47,7 @@ class Engine:
 
     def __post_init__(self):
         self.embed = self.embed or hashed()
-        self.store, self.states = IndexStore(self.spark, f"{self.root}/index"), IndexStore(self.spark, f"{self.root}/state")
+        self.store, self.states, self.posted = (IndexStore(self.spark, f"{self.root}/{kind}") for kind in ("index", "state", "postings"))
 
     def chunks(self, files: DataFrame) -> DataFrame:
         """Chunk rows with all structured columns, without vectors."""
@@ -64,9 +64,9 @@ class Engine:
             T.chunk_id(path, F.col("start_line"), F.col("end_line"), c).alias("id"), "content", "relative_path", "start_line", "end_line", P.extension(path).alias("file_extension"),
             F.coalesce("sym.name", F.lit("")).alias("primary_symbol"), F.coalesce("sym.kind", F.lit("")).alias("symbol_kind"),
             F.when(F.col("language") == "markdown", F.col("node_type")).otherwise(T.chunk_kind(F.col("node_type"), F.col("sym.kind"))).alias("chunk_kind"), F.col("sym").isNotNull().alias("is_definition"),
-            P.file_role(path).alias("file_role"), P.stem(path).alias("basename"), *[P.segment(path, i).alias(f"path_segment_{i}") for i in range(5)], P.file_name(path).alias("file_name"),
+            P.file_role(path, c).alias("file_role"), P.stem(path).alias("basename"), *[P.segment(path, i).alias(f"path_segment_{i}") for i in range(5)], P.file_name(path).alias("file_name"),
             P.path_tokens(path).alias("path_tokens"), F.array_union(defined, F.array_compact(F.array("sym.name"))).alias("symbols"), defined.alias("definition_identifiers"),
-            T.content_hash(c).alias("content_hash"), T.normalised_hash(c).alias("normalized_content_hash"), T.chunk_role(F.col("node_type"), c, F.col("language"), path, F.col("sym")).alias("chunk_role"), "language", "chunk_index")
+            T.content_hash(c).alias("content_hash"), T.normalised_hash(c).alias("normalized_content_hash"), T.chunk_role(F.col("node_type"), c, F.col("language"), path, F.col("sym")).alias("chunk_role"), "language", "chunk_index", F.size(retrieval.tokens(c)).alias("n_terms"))
 
     def rows(self, files: DataFrame) -> DataFrame:
         """Chunk rows with vectors; equal contents are embedded once."""
@@ -75,71 +75,113 @@ class Engine:
 
     @staticmethod
     def state(files: DataFrame) -> DataFrame:
-        return files.select("relative_path", F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("long").alias("size"), T.effective_lines(F.col("content")).alias("effective_lines"))
-
-    def index(self, name: str, files: DataFrame) -> dict:
-        """Build a collection from (relative_path, content) rows. The state is written after the rows."""
-        manifest = self.store.commit(name, self.rows(files), status="completed")
+        """What the next run compares with; mtime where the files have one."""
+        mtime = F.col("mtime") if "mtime" in files.columns else F.lit(None)
+        return files.select("relative_path", F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("long").alias("size"), T.effective_lines(F.col("content")).alias("effective_lines"),
+                            mtime.cast("timestamp").alias("mtime"))
+
+    def _postings(self, rows: DataFrame) -> DataFrame:
+        """Term counts of index rows, sorted within a task so that a term's rows lie together in the files."""
+        return retrieval.postings(rows, "id", "content", ["relative_path"]).sortWithinPartitions("term")
+
+    def index(self, name: str, files: DataFrame, cap: int = chunking.CHUNK_CAP) -> dict:
+        """Build a collection from (relative_path, content[, mtime]) rows, of at most `cap` chunks in path order. Rows first, then postings, the state last."""
+        rows = self.rows(files)
+        manifest = self.store.commit(name, rows, status="completed")
+        if self.store.row_count(name) > cap:
+            manifest = self.store.commit(name, chunking.capped(self.store.read(name), cap).drop("status"), status="limit_reached")
+        self.posted.commit(name, self._postings(self.store.read(name)))
         self.states.commit(name, self.state(files))
         return manifest
 
     def index_tree(self, name: str, path: str, **options) -> dict:
         files = sources.read_tree(self.spark, path, **options).filter("error is null")
-        return self.index(name, files.select("relative_path", "content"))
+        return self.index(name, files.select("relative_path", "content", "mtime"))
 
     def reindex(self, name: str, files: DataFrame, automatic: bool = False) -> dict:
         """Apply what changed since the last state. An automatic run refuses growth beyond the guard and changes nothing."""
-        old, new = self.states.read(name), self.state(files)
-        growth = incremental.effective_growth(old, new).first().growth
+        return self._apply(name, self.states.read(name), files, incremental.snapshot_diff, automatic)
+
+    def reindex_paths(self, name: str, paths: list[str], files: DataFrame, automatic: bool = False) -> dict:
+        """The same for some paths only. files: their rows where they exist; all other files stay unread."""
+        asked = self.spark.createDataFrame([(p,) for p in paths], "relative_path string")
+        return self._apply(name, self.states.read(name), files, lambda old, new: incremental.targeted_diff(asked, old, new), automatic)
+
+    def reindex_tree(self, name: str, path: str, automatic: bool = False, **options) -> dict:
+        """Apply what changed in a folder: files whose size and time are those of the state are not hashed again."""
+        old = self.states.read(name)
+        listed = sources.read_tree(self.spark, path, **options).filter("error is null")
+        reuse = incremental.changed_states(old, listed).filter("reuse").select("relative_path")
+        fresh = self.state(listed.join(reuse, "relative_path", "left_anti"))
+        new = fresh.unionByName(old.join(reuse, "relative_path", "left_semi").select(*fresh.columns))
+        return self._apply(name, old, listed.select("relative_path", "content", "mtime"), incremental.snapshot_diff, automatic, new)
+
+    def _apply(self, name: str, old: DataFrame, files: DataFrame, diff, automatic: bool, new: DataFrame | None = None) -> dict:
+        new = self.state(files) if new is None else new
+        changes = diff(old, new).cache()
+        touched = new.join(changes.select("relative_path"), "relative_path", "left_semi")
+        growth = incremental.effective_growth(old.join(changes.select("relative_path"), "relative_path", "left_semi"), touched).first().growth
         if not incremental.may_apply(growth, automatic):
+            changes.unpersist()
             return {"status": "refused", "growth": growth}
-        changes = incremental.snapshot_diff(old, new).cache()
         counts = {r.change: r["count"] for r in changes.groupBy("change").count().collect()}
         if counts:
-            come = files.join(changes.filter("change <> 'removed'").select("relative_path"), "relative_path", "left_semi")
-            self.store.commit(name, incremental.apply_changes(self.store.read(name), changes, self.rows(come)), status="completed")
-        self.states.commit(name, new)
+            gone = changes.filter("change <> 'added'").select("relative_path")
+            come = self.rows(files.join(changes.filter("change <> 'removed'").select("relative_path"), "relative_path", "left_semi"))
+            self.store.update(name, gone, come, status="completed")
+            written = self.store.read(name).join(changes.select("relative_path"), "relative_path", "left_semi")
+            self.posted.update(name, gone, self._postings(written))
+            self.states.update(name, gone, touched)
         changes.unpersist()
         return {"status": "completed", "growth": growth, **{k: counts.get(k, 0) for k in ("added", "removed", "modified")}}
 
-    def search(self, name: str, query: str, limit: int | None = None, target: str = "implementation", include_related: bool = True, where: str | None = None, extensions: list[str] = ()) -> DataFrame:
-        """Ranked rows: dense and BM25 ranks fused, lexical candidates merged, near duplicates removed, roles grouped, files diversified."""
+    def search(self, name: str, query: str, limit: int | None = None, target: str = "implementation", include_related: bool = True, where: str | None = None, extensions: list[str] = (),
+               threshold: float | None = None, weights: tuple[float, float] | None = None) -> DataFrame:
+        """Ranked rows: dense and BM25 ranks fused, lexical candidates merged, near duplicates removed, roles grouped, files diversified.
+
+        threshold: least cosine of a dense hit. weights: fuse scaled scores by these weights of (dense, BM25), not ranks.
+        """
         out, candidates = retrieval.limits(limit)
         index = self.store.read(name)
         if where:
             index = index.filter(parse_filter(where, index.columns))
         index = index.filter(extension_filter(list(extensions)))
         q = self.spark.createDataFrame([("q", query, self.embed([query])[0])], "query_id string, query string, query_vector array<float>")
-        dense = retrieval.dense_topk(index, q, candidates)
-        sparse = retrieval.bm25_topk(index, q, candidates)
-        fused = retrieval.fuse(dense, sparse, candidates)
+        dense = retrieval.dense_topk(index, q, candidates, threshold=threshold)
+        sparse = retrieval.bm25_indexed(index, self.posted.read(name), q, candidates)
+        fused = retrieval.weighted(dense, sparse, candidates, weights) if weights else retrieval.fuse(dense, sparse, candidates)
         terms = lexical.analyse(query)
-        rows = index.withColumn("content_definitions", F.col("definition_identifiers"))
         score, reasons, tier = lexical.lexical_score(terms, role_scoring=target != "all")
-        rows = rows.withColumn("lexical_score", score.cast("int")).withColumn("reasons", reasons).withColumn("owner_tier", tier)
-        hits = fused.join(rows, "id").withColumn("semantic", F.lit(True))
-        merged = hits.select("query_id", "id", "score", "lexical_score", "owner_tier", "reasons", "rank")
+        scored = lambda rows: (rows.withColumn("content_definitions", F.col("definition_identifiers")).withColumn("lexical_score", score.cast("int"))
+                               .withColumn("reasons", reasons).withColumn("owner_tier", tier))
+        lean = index.drop("vector")
+        known = ["lexical_score", "owner_tier", "reasons"]
+        # `candidates` and LEXICAL_ROWS bound what comes to the driver; all that follows works on local tables of that size
+        first = self._local(fused.select("query_id", "id", "score", "rank"))
+        rows = scored(lean.filter(F.col("id").isin([r.id for r in first.collect()])))
         if terms.anchors or terms.filename:
             exact = filename_filter(terms.filename) if terms.filename else anchor_filter(terms.anchors)
-            lex = rows.filter(exact & (F.col("lexical_score") > 0)).orderBy(F.desc("owner_tier"), F.desc("lexical_score"), "relative_path", "start_line", "id").limit(LEXICAL_ROWS)
-            lex = lex.select(F.lit("q").alias("query_id"), F.col("id").alias("result_key"), F.col("lexical_score").cast("double").alias("score"), "lexical_score", "owner_tier", "reasons")
-            both = retrieval.merge_lexical(merged.withColumnRenamed("id", "result_key"), lex)
-            merged = both.select("query_id", F.col("result_key").alias("id"), "score", "lexical_score", "owner_tier", "reasons", "rank")
-        full = merged.join(index, "id")
-        kept = ranking.deduplicate(full)
+            found = self._local(scored(lean.filter(exact)).filter("lexical_score > 0").orderBy(F.desc("owner_tier"), F.desc("lexical_score"), "relative_path", "start_line", "id").limit(LEXICAL_ROWS))
+            rows = self._local(rows).unionByName(found).dropDuplicates(["id"])
+            hits = first.join(rows.select("id", *known), "id").withColumnRenamed("id", "result_key")
+            said = found.select(F.lit("q").alias("query_id"), F.col("id").alias("result_key"), F.col("lexical_score").cast("double").alias("score"), *known)
+            merged = retrieval.merge_lexical(hits, said).withColumnRenamed("result_key", "id")
+            full = merged.select("query_id", "id", "score", "rank", *known).join(rows.drop(*known), "id")
+        else:
+            full = first.join(rows, "id")
+        full = self._local(ranking.with_features(full.drop("content_definitions")))
+        ordered = ranking.in_group_order(ranking.deduplicate(full), terms, target)
         if target == "all":
-            return kept.orderBy("rank").limit(out)
-        grouped = ranking.group_and_pick(kept, max(out * ranking.PER_FILE, out), target)
-        if not include_related:
-            grouped = grouped.filter("is_primary")
-        first = ranking.diversify(grouped.drop("rank").withColumnRenamed("pick", "rank"), max(out * ranking.PER_FILE, out))
-        order = Window.partitionBy("query_id").orderBy(F.desc("is_primary"), "pick")
-        n = first.withColumn("place", F.row_number().over(order))
-        reserve = ranking.related_reserve(F.lit(out), F.count_if("is_primary").over(Window.partitionBy("query_id")).cast("int"), F.count_if(~F.col("is_primary")).over(Window.partitionBy("query_id")).cast("int"))
-        side = F.row_number().over(Window.partitionBy("query_id", "is_primary").orderBy("pick"))
-        n = n.withColumn("reserve", reserve).withColumn("side", side)
-        n = n.filter(F.when(F.col("is_primary"), F.col("side") <= out - F.col("reserve")).otherwise(F.col("side") <= F.col("reserve")))
-        return n.withColumn("place", F.row_number().over(order)).drop("pick", "rank", "reserve", "side").withColumnRenamed("place", "rank")
+            out_rows = ordered.filter(F.col("rank") <= out)
+        elif not include_related:
+            out_rows = ranking.diversify(ordered.filter("is_primary"), out).drop("rank").withColumnRenamed("pick", "rank")
+        else:
+            out_rows = ranking.place_related(ranking.diversify(ordered, candidates + LEXICAL_ROWS, by=["query_id", "is_primary"]).drop("rank"), out)
+        return out_rows.drop(*ranking.FEATURES)
+
+    def _local(self, rows: DataFrame) -> DataFrame:
+        """A table of a few hundred rows at most, computed once."""
+        return self.spark.createDataFrame(rows.collect(), rows.schema)
 
     def context(self, results: DataFrame, files: DataFrame, around: int = 4, cap: int = 5000) -> DataFrame:
         """Results with the file's current lines around each hit; the stored chunk where the file or the range is gone."""
@@ -161,6 +203,6 @@ class Engine:
         return {"manifest": self.store.manifest(name), "rows": self.store.row_count(name) if self.has(name) else None}
 
     def clear(self, name: str) -> None:
-        """State first, then rows."""
-        self.states.drop(name)
-        self.store.drop(name)
+        """State first, then postings and rows."""
+        for store in (self.states, self.posted, self.store):
+            store.drop(name)

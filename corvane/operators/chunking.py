@@ -17,6 +17,7 @@ from corvane.functions import text as T
 from corvane.functions.paths import language
 
 CHUNK_SIZE, OVERLAP = 2500, 300
+CHUNK_CAP = 450_000  # chunks of a collection
 HEADER = r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$"
 
 
@@ -255,7 +256,7 @@ def distinct_in_file(chunks: DataFrame, order: Column) -> DataFrame:
     return chunks.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def capped(chunks: DataFrame, cap: int = 450_000) -> DataFrame:
+def capped(chunks: DataFrame, cap: int = CHUNK_CAP) -> DataFrame:
     """The first `cap` chunks in path order, with status limit_reached or completed.
 
     Only the first `cap` paths can hold them, so the running sum sees no more rows than that, however many files there are.

@@ -69,7 +69,7 @@ def precision_recall(hits: DataFrame, oracle: DataFrame) -> DataFrame:
 
 def method_summary(scores: DataFrame) -> DataFrame:
     """Mean and population deviation of F1 and tokens by method."""
-    return scores.groupBy("method").agg(F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"), F.avg("tokens").alias("tokens_mean"), F.stddev_pop("tokens").alias("tokens_std"), F.max("tokens").alias("tokens_max"))
+    return scores.groupBy("method").agg(F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"), F.avg("tokens").alias("tokens_mean"), F.stddev_pop("tokens").alias("tokens_std"), F.max("tokens").alias("tokens_max"), F.sum("tokens").alias("tokens_sum"))
 
 
 def patch_paths(patch: Column) -> Column:
@@ -105,6 +105,24 @@ def quality_summary(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count_if(F.col("rank") <= 3).alias("top3"), F.count_if(F.col("rank") <= 5).alias("top5"), F.avg(F.col("test_first").cast("double")).alias("test_first"), F.avg(F.col("barrel_first").cast("double")).alias("barrel_first"))
 
 
+def covered_by_trace(evidence: DataFrame, cases: DataFrame) -> DataFrame:
+    """(case_id, path): expected paths that a trace's evidence names, by a definition there or an import or export resolved to it.
+
+    Only where the symbol's letters and digits are those of the file's name, or within them.
+    evidence: (case_id, symbol, kind, relative_path, resolved_path); cases: (case_id, primary, acceptable).
+    """
+    plain = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    found = evidence.select("case_id", "symbol", F.when(F.col("kind") == "definition", F.col("relative_path")).when(F.col("kind").isin("import", "export"), F.col("resolved_path")).alias("path"))
+    wanted = cases.select("case_id", F.explode(F.array_union("primary", "acceptable")).alias("path"))
+    base = plain(F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", ""))
+    return found.join(wanted, ["case_id", "path"]).filter((plain(F.col("symbol")) != "") & F.contains(base, plain(F.col("symbol")))).select("case_id", "path").distinct()
+
+
+def reduction_percent(ours: Column, theirs: Column) -> Column:
+    """How many per cent less ours is than theirs; null if theirs is 0."""
+    return F.round(100 * (theirs - ours) / F.nullif(theirs, F.lit(0)), 2)
+
+
 def subset(instances: DataFrame, difficulty: str, files: int = 2) -> DataFrame:
     return instances.filter((F.col("difficulty") == difficulty) & (F.size(patch_paths(F.col("patch"))) == files))
 

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import lexical
+from corvane.operators.lexical import QueryTerms
 
 PER_FILE = 3
-ROLE_WEIGHTS = {"definition": 120, "method_body": 100, "module_decl": 40, "re_export": -40, "test_case": -60, "assertion": -60, "reference": 0}
+FEATURES = ["ranged", "flat", "line_set", "defines", "narrow_signature", "wide_signature", "auditable", "size"]
 
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -27,7 +29,9 @@ def close(a: Column, b: Column) -> Column:
 
 
 def with_features(results: DataFrame) -> DataFrame:
-    """Columns that the duplicate and evidence rules need, computed once a row."""
+    """Columns that the duplicate and evidence rules need, computed once a row; rows that carry them stay as they are."""
+    if set(FEATURES) <= set(results.columns):
+        return results
     c = F.col("content")
     ranged = (F.col("start_line") > 0) & (F.col("end_line") >= F.col("start_line"))
     return (results.withColumn("ranged", ranged).withColumn("flat", T.squeezed(c)).withColumn("line_set", T.meaningful_lines(c)).withColumn("defines", T.definition_signatures(c))
@@ -113,25 +117,6 @@ def evidence(score: Column, reasons: Column, chunk_role: Column, signature: Colu
             + F.when(has("path_match"), 180).otherwise(0) + F.when(chunk_role == "definition", 110).when(chunk_role == "method_body", 90).otherwise(0) + F.when(signature.isNotNull(), 90).otherwise(0))
 
 
-def structure_score(chunk_role: Column, path: Column, content: Column, terms: list[str], reasons: Column) -> Column:
-    """Weight of the chunk's role, plus hits of the query's terms in file name, path and content, plus 60 or 20 for a leading definition."""
-    def hits(hay):
-        total = F.lit(0)
-        for t in terms:
-            total = total + F.contains(F.lower(hay), F.lit(t.lower())).cast("int")
-        return total
-    from corvane.functions.paths import stem
-
-    in_name = hits(stem(path))
-    weight = F.lit(0)
-    for r, w in ROLE_WEIGHTS.items():
-        weight = F.when(chunk_role == r, w).otherwise(weight)
-    starts = T.signature(content, wide=True).isNotNull()
-    only_reference = F.coalesce((F.size(reasons) == 1) & F.array_contains(reasons, "reference_match"), F.lit(False))
-    return (weight + F.when(in_name >= 2, in_name * 45).otherwise(0) + F.least(hits(path) * 8, F.lit(40)) + F.least(hits(content) * 4, F.lit(48))
-            + F.when(starts & chunk_role.isin("definition", "method_body"), 60).when(starts, 20).otherwise(0) - F.when(only_reference, 20).otherwise(0))
-
-
 def _strong(row: dict) -> bool:
     return row["wide_signature"] is not None or bool({"exact_symbol_definition", "exact_filename", "path_match"} & set(row["reasons"] if row["reasons"] is not None else ()))
 
@@ -151,8 +136,8 @@ def _overlaps(a: dict, b: dict) -> bool:
     return common > 0 and common / min(a["size"], b["size"]) > 0.2
 
 
-def diversify(results: DataFrame, limit: int, per_file: int = PER_FILE) -> DataFrame:
-    """Up to `limit` rows a query, no more than per_file of a path, with their new order in `pick`.
+def diversify(results: DataFrame, limit: int, per_file: int = PER_FILE, by: list[str] = ["query_id"]) -> DataFrame:
+    """Up to `limit` rows for each key (a query's candidates after top-k, a few hundred at most), no more than per_file of a path, with their new order in `pick`.
 
     Files go by aggregate evidence: -40 for each rank that their best row stands behind, plus 0.35 of
     the evidence (260 at most each) of up to four distinct strong rows. First each file's best row,
@@ -160,7 +145,7 @@ def diversify(results: DataFrame, limit: int, per_file: int = PER_FILE) -> DataF
     results: query_id, id, relative_path, content, start_line, end_line, score, rank, reasons, chunk_role.
     """
     f = with_features(results).withColumn("evidence", evidence(F.col("score"), F.col("reasons"), F.col("chunk_role"), F.col("wide_signature")))
-    narrow = f.select("query_id", "id", "relative_path", "rank", "start_line", "end_line", "ranged", "size", "reasons", "chunk_role", "wide_signature", "evidence")
+    narrow = f.select(*by, "id", "relative_path", "rank", "start_line", "end_line", "ranged", "size", "reasons", "chunk_role", "wide_signature", "evidence")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["rank", "id"]).to_dict("records")
@@ -201,11 +186,11 @@ def diversify(results: DataFrame, limit: int, per_file: int = PER_FILE) -> DataF
                 if r not in had[r["relative_path"]] and len(had[r["relative_path"]]) < per_file:
                     take(r)
         picked = picked[:limit]
-        return pd.DataFrame({"query_id": [r["query_id"] for r in picked], "id": [r["id"] for r in picked], "pick": range(1, len(picked) + 1)}, columns=["query_id", "id", "pick"])
+        return pd.DataFrame({**{c: [r[c] for r in picked] for c in (*by, "id")}, "pick": range(1, len(picked) + 1)}, columns=[*by, "id", "pick"])
 
     types = dict(results.dtypes)
-    chosen = narrow.groupBy("query_id").applyInPandas(choose, f"query_id {types['query_id']}, id {types['id']}, pick int")
-    return results.join(chosen, ["query_id", "id"])
+    chosen = narrow.groupBy(*by).applyInPandas(choose, ", ".join(f"{c} {types[c]}" for c in (*by, "id")) + ", pick int")
+    return results.join(chosen, [*by, "id"])
 
 
 def related_reserve(limit: Column, primary: Column, related: Column) -> Column:
@@ -220,7 +205,7 @@ GROUPS = ["implementation", "entry_exports", "related_tests", "docs_config", "ot
 
 def result_group(role: Column) -> Column:
     return (F.when(role == "implementation", GROUPS[0]).when(role.isin("barrel", "entrypoint"), GROUPS[1]).when(role == "test", GROUPS[2])
-            .when(role.isin("docs", "config"), GROUPS[3]).otherwise(GROUPS[4]))
+            .when(role.isin("docs", "config", "style", "generated"), GROUPS[3]).otherwise(GROUPS[4]))
 
 
 def group_and_pick(results: DataFrame, limit: int, target: str = "implementation") -> DataFrame:
@@ -243,3 +228,75 @@ def group_and_pick(results: DataFrame, limit: int, target: str = "implementation
     kept = r.filter(F.when(F.col("is_primary"), F.col("place") <= limit - F.col("reserve")).otherwise(F.col("place") <= F.col("reserve")))
     return (kept.withColumn("pick", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("is_primary"), "place")))
             .drop("primaries", "others", "reserve", "in_group", "place"))
+
+
+def in_group_order(results: DataFrame, terms: QueryTerms, target: str = "implementation") -> DataFrame:
+    """Results with file role, group and sort keys of a query, and their order under these keys in `rank`.
+
+    Primary rows (of the target's role; for implementation also of roles, extensions and paths that the
+    query names) come first, then by role, owner signal, structure, score and the rank they had. With
+    target `all` the order is anchors, structure, score, rank.
+    results: query_id, id, rank, score, file_role, relative_path, content, reasons, chunk_role.
+    """
+    role, path, reasons = F.col("file_role"), F.col("relative_path"), F.col("reasons")
+    named = lexical.explicitly_asked(role, path, terms) | lexical.names_path(path, terms)
+    primary = {"implementation": named, "all": F.lit(True)}.get(target, role == target)
+    order = F.lit(len(GROUPS) - 1)
+    for i, g in enumerate(GROUPS[:-1]):
+        order = F.when(F.col("result_group") == g, i).otherwise(order)
+    by_role = F.when((role != "implementation") & named, 0).otherwise(order + 1) if target == "implementation" else F.when(F.col("is_primary"), 0).otherwise(order + 1)
+    exact = F.arrays_overlap(reasons, F.array(F.lit("exact_filename"), F.lit("exact_symbol_definition")))
+    out = (results.withColumn("result_group", result_group(role)).withColumn("is_primary", primary).withColumn("role_priority", by_role)
+           .withColumn("owner_priority", lexical.owner_signal(reasons, F.col("score"), F.col("content"), path, terms))
+           .withColumn("anchor_priority", F.when(exact, 0).when(lexical.names_path(path, terms), 1).otherwise(2))
+           .withColumn("structure_score", lexical.structure_score(F.col("chunk_role"), path, F.col("content"), reasons, terms, target)))
+    keys = ["anchor_priority"] if target == "all" else [F.desc("is_primary"), "role_priority", "owner_priority"]
+    w = Window.partitionBy("query_id").orderBy(*keys, F.desc("structure_score"), F.desc("score"), "rank", "id")
+    return out.withColumn("rank", F.row_number().over(w))
+
+
+def place_related(results: DataFrame, limit: int) -> DataFrame:
+    """`limit` rows a query of rows that carry is_primary, result_group and their order among their own kind in `pick`; the final order is in `rank`.
+
+    Primary rows come first; related rows have a reserve of places, or all that primary rows leave free:
+    the first row of each group in group order, then the rest.
+    """
+    q, kind = Window.partitionBy("query_id"), Window.partitionBy("query_id", "is_primary")
+    order = F.lit(len(GROUPS))
+    for i, g in enumerate(GROUPS[1:]):
+        order = F.when(F.col("result_group") == g, i).otherwise(order)
+    r = results.withColumn("primaries", F.count_if("is_primary").over(q).cast("int")).withColumn("others", F.count_if(~F.col("is_primary")).over(q).cast("int"))
+    r = r.withColumn("shown", F.least("primaries", limit - related_reserve(F.lit(limit), F.col("primaries"), F.col("others"))))
+    r = r.withColumn("in_group", F.row_number().over(Window.partitionBy("query_id", "is_primary", "result_group").orderBy("pick", "id")))
+    turn = F.when(F.col("is_primary"), 0).when(F.col("in_group") == 1, order).otherwise(len(GROUPS))
+    r = r.withColumn("side", F.row_number().over(kind.orderBy(turn, "pick", "id")))
+    r = r.withColumn("rank", F.when(F.col("is_primary"), F.when(F.col("side") <= F.col("shown"), F.col("side"))).otherwise(F.col("shown") + F.col("side")))
+    return r.filter(F.col("rank") <= limit).drop("primaries", "others", "shown", "in_group", "side", "pick")
+
+
+def similar_files_lines(rows: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Near duplicates by the sets of their meaningful lines, over whole tables: (members, pairs) of (relative_path, id, content).
+
+    members: (relative_path, id, class_id): rows of one path with equal sets are one class, named by the
+    smallest id. pairs: (relative_path, a, b, similarity) of classes of one path whose sets are alike to
+    at least `least`, each once. Rows with fewer than four such lines are like nothing. Candidates share
+    one of their rarest lines (as many as make it certain), so no path's rows all meet; no line is too
+    common to count.
+    """
+    lines = rows.select("relative_path", "id", T.meaningful_lines(F.col("content")).alias("ls")).filter(F.size("ls") >= 4).withColumn("key", F.xxhash64(F.array_sort("ls"))).withColumn("n", F.size("ls"))
+    named = lines.groupBy("relative_path", "key", "n").agg(F.min("id").alias("class_id"))
+    members = lines.select("relative_path", "id", "key", "n").join(named, ["relative_path", "key", "n"]).select("relative_path", "id", "class_id")
+    classes = lines.join(named.select("relative_path", F.col("class_id").alias("id")), ["relative_path", "id"], "left_semi").select("relative_path", "id", "n", "ls")
+    each = classes.select("relative_path", "id", "n", F.explode(F.transform("ls", lambda x: F.xxhash64(x))).alias("line"))
+    common = each.groupBy("relative_path", "line").agg(F.count("*").alias("held"))
+    rare = Window.partitionBy("relative_path", "id").orderBy("held", "line")
+    front = (each.join(common.filter("held > 1"), ["relative_path", "line"]).withColumn("place", F.row_number().over(rare))
+             .withColumn("alone", F.col("n") - F.count("*").over(Window.partitionBy("relative_path", "id")))  # lines that no other class has come first
+             .filter(F.col("place") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1))
+    x = front.select("relative_path", "line", F.col("id").alias("a"), F.col("n").alias("na"))
+    y = front.select("relative_path", "line", F.col("id").alias("b"), F.col("n").alias("nb"))
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - 1e-9)
+    found = x.join(y, ["relative_path", "line"]).filter(fits).select("relative_path", "a", "b").distinct()
+    sets = lambda side: classes.select("relative_path", F.col("id").alias(side), F.col("ls").alias(f"ls_{side}"))
+    alike = found.join(sets("a"), ["relative_path", "a"]).join(sets("b"), ["relative_path", "b"]).select("relative_path", "a", "b", T.line_jaccard(F.col("ls_a"), F.col("ls_b")).alias("similarity"))
+    return members, alike.filter(F.col("similarity") >= least)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.vectors import dot, norm
 
 RRF_K = 100
+QUERY_BLOCK = 64  # query vectors that one row meets at a time
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -35,7 +36,7 @@ def dense_topk(index: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
     rows = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).withColumn("n", norm(F.col("v")))
     asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("q")).withColumn("qn", norm(F.col("q")))
     # the queries of a block ride along with each row as one array: a map-side product, no join of all with all
-    n_blocks = max(1, asked.count() // 1000)
+    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     blocks = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query_id", "q", "qn")).alias("qs"))
     spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     pairs = spread.join(blocks, "block").select("id", "v", "n", F.explode("qs").alias("q"))
@@ -49,27 +50,56 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, len): term counts with the document's length; counted per document before anything is shuffled."""
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ws")).withColumn("len", F.size("ws"))
-    return words.select("id", "len", F.explode("ws").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = []) -> DataFrame:
+    """(id, term, tf, len, keep...): term counts with the document's length, counted per document before anything is shuffled."""
+    words = docs.select(F.col(id_col).alias("id"), *keep, tokens(F.col(text_col)).alias("ws")).withColumn("len", F.size("ws"))
+    return words.select("id", *keep, "len", F.explode("ws").alias("term")).groupBy("id", *keep, "len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank). queries: (query_id, query text). Only the queries' terms are counted, so the scan shuffles next to nothing."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ws")).withColumn("len", F.size("ws"))
-    stats = words.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-    wanted = asked.select("term").distinct()
-    tf = words.select("id", "len", F.explode("ws").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n, avg_len = stats.first()
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+def query_terms(queries: DataFrame) -> list[tuple[str, str]]:
+    """(query_id, term) of the queries, a stated set of bounded size."""
+    return [(r.query_id, r.term) for r in queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).collect()]
+
+
+def bm25_scores(tf: DataFrame, asked: list[tuple[str, str]], n_docs: int, avg_len: float, held: dict[str, int], k: int, id_type: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score, rank) from the counts (id, term, tf, len) of the asked terms and the number of documents that hold each."""
+    spark = tf.sparkSession
+    kind = f"query_id {id_type}, term string, df long"
+    wanted = F.broadcast(spark.createDataFrame([(q, t, held[t]) for q, t in asked if t in held], kind))  # as many rows as the queries have terms
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg_len or 1.0)))
-    scored = tf.join(df, "term").join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.round(part, 9)).alias("score"))
+    scored = tf.join(wanted, "term").groupBy("query_id", "id").agg(F.sum(F.round(part, 9)).alias("score"))
     return ranked(scored.withColumn("score", F.round("score", 6)), "score", "id", k)
 
 
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score, rank). queries: (query_id, query text), a stated set of bounded size.
+
+    Texts are tokenised twice: once for statistics, of which a row a term reaches the driver, once for
+    the counts, which are scored within the scan before anything is shuffled. Where an index exists, see bm25_indexed.
+    """
+    asked = query_terms(queries)
+    terms = sorted({t for _, t in asked})
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ws"))
+    hits = words.select("id", F.size("ws").alias("len"), (F.filter("ws", lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")).alias("hits"))
+    stats = hits.select("len", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("hits"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("len").alias("words")).collect()
+    held = {r.term: r.n for r in stats if r.term is not None}
+    n_docs, n_words = next(((r.n, r.words) for r in stats if r.term is None), (0, 0))
+    tf = hits.select("id", "len", "hits", F.explode(F.array_distinct("hits")).alias("term")).select("id", "len", "term", F.size(F.filter("hits", lambda w: w == F.col("term"))).cast("long").alias("tf"))
+    return bm25_scores(tf, asked, n_docs, n_words / n_docs if n_docs else 1.0, held, k, dict(queries.dtypes)["query_id"], k1, b)
+
+
+def bm25_indexed(index: DataFrame, posted: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) over the postings of an index whose rows carry n_terms; only the postings of the asked terms are read."""
+    asked = query_terms(queries)
+    terms = sorted({t for _, t in asked})
+    rows = posted.filter(F.col("term").isin(terms)) if terms else posted.limit(0)
+    tf = rows.join(index.select("id"), "id", "left_semi").select("id", "term", "tf", "len")
+    held = {r.term: r.n for r in tf.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    n_docs, avg_len = index.agg(F.count("*"), F.avg("n_terms")).first()
+    return bm25_scores(tf, asked, n_docs, avg_len or 1.0, held, k, dict(queries.dtypes)["query_id"])
+
+
 def fuse(left: DataFrame, right: DataFrame, k: int, rrf_k: int = RRF_K, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Reciprocal-rank fusion of two (query_id, id, rank) lists: a full outer join on (query, id)."""
     a, b = left.select("query_id", "id", F.col("rank").alias("r1")), right.select("query_id", "id", F.col("rank").alias("r2"))

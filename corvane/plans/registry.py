@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from corvane.functions import paths as P
 from corvane.functions import text as T
-from corvane.functions.vectors import cosine
 from corvane.operators import catalog, chunking, evaluation, incremental, ranking, retrieval, trace
 from corvane.operators.filters import parse_filter
 from corvane.operators.lexical import analyse, lexical_score
@@ -58,10 +57,9 @@ SELECT vec_id AS id, round(s, 6) AS score, CAST(row_number() OVER (ORDER BY roun
 def dense_topk(spark, sf):
     """Exact cosine top 10 of one query vector."""
     e = t(spark, sf, "embeddings")
-    q = e.filter("vec_id = 0").select("embedding").first().embedding
-    scored = e.select(F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])), 6).alias("score"))
-    top = scored.orderBy(F.desc("score"), "id").limit(10)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    asked = e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    got = retrieval.dense_topk(e, asked, 200, "vec_id", "embedding").withColumn("score", F.round("score", 6))
+    return retrieval.ranked(got.drop("rank"), "score", "id", 10).select("id", "score", "rank")
 
 
 @query("""
@@ -142,17 +140,18 @@ def chunk_markdown_sections(spark, sf):
     return parts.select("relative_path", "section", "start_line", "end_line", F.md5("content").alias("content_md5"), "chunk_kind", "symbol_name")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-p AS (SELECT doc_id, pos // 4 AS piece, string_agg(line, chr(10) ORDER BY pos) AS own FROM l GROUP BY ALL),
+@query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, pos, piece, held FROM (SELECT doc_id, pos, 0 AS piece, length(line) AS held FROM l WHERE pos = 1)
+ UNION ALL SELECT l.doc_id, l.pos, CASE WHEN held + 1 + length(line) > 400 THEN piece + 1 ELSE piece END, CASE WHEN held + 1 + length(line) > 400 THEN length(line) ELSE held + 1 + length(line) END
+ FROM k JOIN l ON l.doc_id = k.doc_id AND l.pos = k.pos + 1),
+p AS (SELECT doc_id, piece, min(pos) AS start_line, string_agg(line, chr(10) ORDER BY pos) AS own FROM k JOIN l USING (doc_id, pos) GROUP BY ALL),
 w AS (SELECT *, right(lag(own) OVER (PARTITION BY doc_id ORDER BY piece), 40) AS tail FROM p)
-SELECT doc_id, CAST(piece AS INTEGER) AS piece, md5(CASE WHEN tail IS NULL THEN own ELSE tail || chr(10) || own END) AS content_md5 FROM w""")
+SELECT doc_id, piece, CAST(CASE WHEN tail IS NULL THEN start_line ELSE greatest(1, start_line - len(string_split(tail, chr(10)))) END AS INTEGER) AS start_line,
+ md5(CASE WHEN tail IS NULL THEN own ELSE tail || chr(10) || own END) AS content_md5 FROM w""")
 def line_windows_overlap(spark, sf):
-    """Pieces of four lines, each with the last 40 characters of the piece before."""
-    rows = t(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / 4).cast("int")), lambda i: F.array_join(F.slice("ls", i * 4 + 1, 4), "\n"))
-    tail = F.right(F.lag("own").over(Window.partitionBy("doc_id").orderBy("piece")), F.lit(40))
-    out = rows.select("doc_id", F.posexplode(pieces).alias("piece", "own")).withColumn("tail", tail)
-    return out.select("doc_id", "piece", F.md5(F.when(F.col("tail").isNull(), F.col("own")).otherwise(F.concat("tail", F.lit("\n"), "own"))).alias("content_md5"))
+    """Pieces of at most 400 characters on line boundaries, each with the last 40 characters of the piece before."""
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("relative_path"), F.col("text").alias("content"))
+    return chunking.line_windows(d, 400, 40).select(F.col("relative_path").alias("doc_id"), "piece", "start_line", F.md5("content").alias("content_md5"))
 
 
 @query(f"""SELECT 'chunk_' || substr(sha256(relative_path || ':1:' || len(string_split(content, chr(10))) || ':' || content), 1, 16) AS id, sha1(content) AS content_hash,
@@ -172,15 +171,36 @@ def exact_dedupe(spark, sf):
     return chunking.distinct_in_file(d, F.col("doc_id")).select("doc_id", "normalized_content_hash")
 
 
-@query("""WITH r AS (SELECT lang AS query_id, doc_id AS id, source, text, row_number() OVER (PARTITION BY lang ORDER BY n_chars % 997 DESC, doc_id) AS rank FROM documents),
-l AS (SELECT query_id, id, source, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 8)) AS ls FROM r WHERE rank <= 200),
-j AS (SELECT x.query_id, x.id AS a, y.id AS b, len(list_intersect(x.ls, y.ls)) AS i, len(x.ls) AS n, len(y.ls) AS m FROM l x JOIN l y ON x.query_id = y.query_id AND x.source = y.source AND x.id < y.id)
-SELECT query_id, a, b, round(CASE WHEN least(n, m) < 4 THEN 0 ELSE i / (n + m - i) END, 6) AS similarity FROM j""")
+LINES_SQL = """WITH l AS (SELECT lang AS relative_path, doc_id AS id, list_sort(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 8))) AS ls FROM documents),
+m AS (SELECT *, min(id) OVER (PARTITION BY relative_path, ls) AS class_id FROM l WHERE len(ls) >= 4), c AS (SELECT * FROM m WHERE id = class_id)
+"""
+
+
+@query(LINES_SQL + """SELECT relative_path, a, b, round(s, 6) AS similarity FROM (SELECT x.relative_path, x.id AS a, y.id AS b, len(list_intersect(x.ls, y.ls)) / (len(x.ls) + len(y.ls) - len(list_intersect(x.ls, y.ls))) AS s
+ FROM c x JOIN c y ON x.relative_path = y.relative_path AND x.id < y.id) WHERE s >= 0.25""")
 def near_dup_pairs(spark, sf):
-    """Similarity of the line sets of all results of one path in each query's 200 candidates."""
-    r = _results(spark, sf).select("query_id", "id", "relative_path", T.meaningful_lines(F.col("content")).alias("ls"))
-    pairs = r.toDF("query_id", "a", "relative_path", "x").join(r.toDF("query_id", "b", "relative_path", "y"), ["query_id", "relative_path"]).filter("a < b")
-    return pairs.select("query_id", "a", "b", F.round(T.line_jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
+    """Classes of equal line sets of one path that are alike to 0.25 or more, over the whole table (a language stands for a path)."""
+    _, pairs = ranking.similar_files_lines(t(spark, sf, "documents").select(F.col("lang").alias("relative_path"), F.col("doc_id").alias("id"), F.col("text").alias("content")), 0.25)
+    return pairs.select("relative_path", "a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(LINES_SQL + "SELECT relative_path, id, class_id FROM m")
+def near_dup_classes(spark, sf):
+    """The class of every row that has meaningful lines enough; with near_dup_pairs it tells every pair."""
+    return ranking.similar_files_lines(t(spark, sf, "documents").select(F.col("lang").alias("relative_path"), F.col("doc_id").alias("id"), F.col("text").alias("content")))[0]
+
+
+@query("""WITH r AS (SELECT lang AS query_id, doc_id AS id, source AS relative_path, text, doc_id % 400 + 1 AS s, doc_id % 400 + 12 AS e, row_number() OVER (PARTITION BY lang ORDER BY n_chars % 997 DESC, doc_id) AS rank FROM documents),
+l AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 8)) AS ls FROM r WHERE rank <= 200),
+j AS (SELECT x.query_id, x.relative_path, x.id AS a, y.id AS b, least(x.e, y.e) - greatest(x.s, y.s) + 1 AS common, greatest(x.s, y.s) - least(x.e, y.e) - 1 AS apart,
+ CASE WHEN least(len(x.ls), len(y.ls)) < 4 THEN 0 ELSE len(list_intersect(x.ls, y.ls)) / (len(x.ls) + len(y.ls) - len(list_intersect(x.ls, y.ls))) END AS alike,
+ CASE WHEN length(x.flat) <= length(y.flat) THEN x.flat ELSE y.flat END AS short, CASE WHEN length(x.flat) <= length(y.flat) THEN y.flat ELSE x.flat END AS long
+ FROM l x JOIN l y ON x.query_id = y.query_id AND x.relative_path = y.relative_path AND x.id < y.id)
+SELECT query_id, relative_path, a, b FROM j WHERE (common > 0 AND (common / 12 > 0.5 OR common / 12 >= 0.6)) OR (common <= 0 AND apart <= 2 AND alike >= 0.6)
+ OR (short <> '' AND ((length(short) >= 80 AND contains(long, short)) OR (short <> long AND alike >= 0.82)))""")
+def duplicate_pairs(spark, sf):
+    """Pairs of near duplicates among the results of each query, which the search limits to 200 candidates: by ranges, contained texts and line sets (no text here declares anything)."""
+    return ranking.duplicate_pairs(_results(spark, sf), ["query_id"])
 
 
 @query(f"""WITH p AS (SELECT doc_id, {SHAPED_DUCK} AS path FROM documents)
@@ -232,10 +252,17 @@ def ext_filter_scan(spark, sf):
     return d.filter(parse_filter("(lang == \"de\" or lang == 'fr') and source in ['src1', 'src2', \"src3\"]", d.columns)).select("doc_id", "source")
 
 
-@query(f"""SELECT source AS codebase, count(DISTINCT relative_path) AS files, count(*) AS chunks FROM ({VFILES}) GROUP BY source""")
+@query(f"""SELECT count(DISTINCT relative_path) FILTER (source = 'src1' OR source = 'src2') AS files, count(*) FILTER (source = 'src1' OR source = 'src2') AS chunks FROM ({VFILES})""")
 def collection_stats(spark, sf):
-    """F01-F03."""
-    return vfiles(spark, sf).groupBy(F.col("source").alias("codebase")).agg(F.count_distinct(F.nullif(F.col("relative_path"), F.lit(""))).alias("files"), F.count("*").alias("chunks"))
+    """files and chunks of a codebase; rows that name none count too."""
+    v = vfiles(spark, sf).withColumn("codebase_path", F.when(F.col("source") != "src2", F.col("source")))
+    return catalog.collection_stats(v, F.lit("src1"))
+
+
+@query("""SELECT DISTINCT source AS codebase_path FROM documents WHERE source <> 'src2'""")
+def codebases(spark, sf):
+    """the codebases of a shared collection."""
+    return catalog.codebases_of(t(spark, sf, "documents").select(F.when(F.col("source") != "src2", F.col("source")).alias("codebase_path")))
 
 
 def _states(spark, sf):
@@ -344,20 +371,19 @@ def acknowledged_events(spark, sf):
     return tracker.acknowledge(e, e.groupBy("codebase").agg((F.max("version") - 20).alias("version"))).select("codebase", "version")
 
 
-@query("""WITH r AS (SELECT lang AS query_id, doc_id AS id, source, n_chars, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS round, max(n_chars) OVER (PARTITION BY lang, source) AS best FROM documents),
-o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round, best DESC, source) AS pick FROM r WHERE round <= 3) SELECT query_id, id, CAST(pick AS INTEGER) AS pick FROM o WHERE pick <= 20""")
+@query("""WITH r AS (SELECT lang AS query_id, doc_id AS id, source, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n, min(rank) OVER (PARTITION BY query_id, source) AS best FROM r WHERE rank <= 200),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n > 1, best, n) AS pick FROM c WHERE n <= 3) SELECT query_id, id, CAST(pick AS INTEGER) AS pick FROM o WHERE pick <= 20""")
 def file_diversify(spark, sf):
-    """The best row of each file first, then the second and third, three a file at most."""
-    d = t(spark, sf, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), "source", "n_chars")
-    w = Window.partitionBy("query_id", "source")
-    r = d.withColumn("round", F.row_number().over(w.orderBy(F.desc("n_chars"), "id"))).withColumn("best", F.max("n_chars").over(w)).filter("round <= 3")
-    o = r.withColumn("pick", F.row_number().over(Window.partitionBy("query_id").orderBy("round", F.desc("best"), "source")))
-    return o.filter("pick <= 20").select("query_id", "id", "pick")
+    """The best row of each file first, then more of each, three a file at most; no row here is strong evidence."""
+    d = t(spark, sf, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), F.col("source").alias("relative_path"), F.col("source").alias("content"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"),
+                                         F.col("n_chars").cast("double").alias("score"), F.array().cast("array<string>").alias("reasons"), F.lit("reference").alias("chunk_role"))
+    return ranking.diversify(retrieval.ranked(d, "score", "id", 200), 20).select("query_id", "id", "pick")
 
 
 RELATED_SQL = """WITH d AS (SELECT lang AS query_id, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank,
  CASE doc_id % 6 WHEN 0 THEN 'test' WHEN 1 THEN 'docs' WHEN 2 THEN 'style' WHEN 3 THEN 'barrel' ELSE 'implementation' END AS role FROM documents),
-g AS (SELECT *, role = 'implementation' AS is_primary, CASE role WHEN 'implementation' THEN 0 WHEN 'barrel' THEN 1 WHEN 'test' THEN 2 WHEN 'docs' THEN 3 ELSE 4 END AS grp FROM d WHERE rank <= 80),
+g AS (SELECT *, role = 'implementation' AS is_primary, CASE role WHEN 'implementation' THEN 0 WHEN 'barrel' THEN 1 WHEN 'test' THEN 2 ELSE 3 END AS grp FROM d WHERE rank <= 80),
 c AS (SELECT *, count(*) FILTER (is_primary) OVER (PARTITION BY query_id) AS p, count(*) FILTER (NOT is_primary) OVER (PARTITION BY query_id) AS r, row_number() OVER (PARTITION BY query_id, is_primary, grp ORDER BY rank) AS ing FROM g),
 s AS (SELECT *, CASE WHEN r = 0 THEN 0 WHEN p < 10 THEN least(r, 10 - p) ELSE least(r, 2, 9) END AS reserve, row_number() OVER (PARTITION BY query_id, is_primary ORDER BY CASE WHEN is_primary THEN 0 WHEN ing = 1 THEN grp ELSE 6 END, rank) AS place FROM c)
 SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY is_primary DESC, place) AS INTEGER) AS pick FROM s WHERE CASE WHEN is_primary THEN place <= 10 - reserve ELSE place <= reserve END"""
@@ -371,12 +397,19 @@ def related_pick(spark, sf):
     return ranking.group_and_pick(retrieval.ranked(d, "score", "id", 80), 10).select("query_id", "id", "pick")
 
 
-@query(f"""WITH v AS ({VFILES}), l AS (SELECT relative_path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM v)
-SELECT relative_path, CAST(line AS INTEGER) AS line FROM l WHERE regexp_matches(text, '(^|[^A-Za-z0-9_\\x{{80}}-\\x{{10FFFF}}])secret([^A-Za-z0-9_\\x{{80}}-\\x{{10FFFF}}]|$)')""")
+@query("""WITH f AS (SELECT source, doc_id FROM documents), e AS (SELECT 'src/' || source || '/unit' || doc_id || '.ts' AS relative_path, doc_id % 9 = 3 AS holds FROM f)
+SELECT relative_path, line, is_definition, call_target FROM (SELECT relative_path, unnest([6, 10]) AS line, unnest([false, true]) AS is_definition, unnest([NULL, 'make3']) AS call_target FROM e WHERE holds)
+ WHERE is_definition""")
 def symbol_refs(spark, sf):
-    """Trace: lines that name a symbol as a word."""
-    lines = trace.symbol_lines(vfiles(spark, sf), "secret")
-    return lines.filter(F.col("matched") == "secret").select("relative_path", "line")
+    """Trace: the lines of generated sources that name a symbol as a word."""
+    return trace.symbol_lines(code_files(spark, sf), "make3").select("relative_path", "line", "is_definition", "call_target")
+
+
+@query(f"""WITH v AS ({VFILES}), l AS (SELECT relative_path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM v)
+SELECT relative_path, CAST(line AS INTEGER) AS line FROM l WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)')""")
+def symbol_words(spark, sf):
+    """Whole words of the texts."""
+    return trace.symbol_lines(vfiles(spark, sf), "the").filter(F.col("matched") == "the").select("relative_path", "line")
 
 
 @query(f"""WITH v AS ({VFILES}), l AS (SELECT relative_path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM v)
@@ -387,13 +420,11 @@ def grep_lines(spark, sf):
 
 
 LEX_SQL = f"""WITH v AS ({VFILES}), s AS (SELECT doc_id,
- (CASE WHEN contains(relative_path, 'src1/de') THEN 90 WHEN contains(lower(relative_path), 'src1/de') THEN 70 ELSE 0 END)
- + (CASE WHEN contains(content, 'src1/de') THEN 100 WHEN contains(lower(content), 'src1/de') THEN 50 ELSE 0 END)
- + (CASE WHEN contains(content, 'thonre') THEN 100 WHEN contains(lower(content), 'thonre') THEN 50 ELSE 0 END)
- + (CASE WHEN contains(content, 'anerst') THEN 100 WHEN contains(lower(content), 'anerst') THEN 50 ELSE 0 END) AS base,
+ (CASE WHEN contains(lower(relative_path), 'src1/de') THEN 90 ELSE 0 END) + (CASE WHEN contains(lower(relative_path), 'src1') THEN 90 ELSE 0 END)
+ + (CASE WHEN contains(content, 'src1/de') THEN 100 WHEN contains(lower(content), 'src1/de') THEN 50 ELSE 0 END) + (CASE WHEN contains(content, 'src1') THEN 100 WHEN contains(lower(content), 'src1') THEN 50 ELSE 0 END) AS base,
  (CASE WHEN contains(lower(relative_path || chr(10) || content), 'thonre') THEN 15 ELSE 0 END) + (CASE WHEN contains(lower(relative_path || chr(10) || content), 'anerst') THEN 15 ELSE 0 END) AS weak,
- contains(relative_path, 'src1/de') AS in_path, contains(lower(content), 'src1/de') OR contains(lower(content), 'thonre') OR contains(lower(content), 'anerst') AS in_text FROM v)
-SELECT doc_id, CAST(base + least(weak, 45) - 70 AS INTEGER) AS lexical_score, CASE WHEN in_path THEN 400 WHEN in_text THEN 300 ELSE 0 END AS owner_tier FROM s WHERE base > 0"""
+ contains(lower(relative_path), 'src1') AS in_path, contains(lower(content), 'src1') AS in_text FROM v)
+ SELECT doc_id, CAST(base + least(weak, 45) - 70 AS INTEGER) AS lexical_score, CASE WHEN in_path THEN 400 WHEN in_text THEN 300 ELSE 0 END AS owner_tier FROM s WHERE base > 0"""
 
 
 @query(LEX_SQL)
@@ -456,12 +487,12 @@ def project_report(spark, sf):
 
 
 @query("""WITH s AS (SELECT event_type AS method, (event_id % 100) / 100.0 AS f1, user_id AS tokens FROM events)
-SELECT method, round(avg(f1), 9) AS f1_mean, round(stddev_pop(f1), 9) AS f1_std, round(avg(tokens), 6) AS tokens_mean, round(stddev_pop(tokens), 6) AS tokens_std, max(tokens) AS tokens_max FROM s GROUP BY method""")
+SELECT method, round(avg(f1), 9) AS f1_mean, round(stddev_pop(f1), 9) AS f1_std, round(avg(tokens), 6) AS tokens_mean, round(stddev_pop(tokens), 6) AS tokens_std, max(tokens) AS tokens_max, CAST(sum(tokens) AS BIGINT) AS tokens_sum FROM s GROUP BY method""")
 def method_summary(spark, sf):
     """F11, F12."""
     s = t(spark, sf, "events").select(F.col("event_type").alias("method"), ((F.col("event_id") % 100) / 100.0).alias("f1"), F.col("user_id").alias("tokens"))
     m = evaluation.method_summary(s)
-    return m.select("method", F.round("f1_mean", 9).alias("f1_mean"), F.round("f1_std", 9).alias("f1_std"), F.round("tokens_mean", 6).alias("tokens_mean"), F.round("tokens_std", 6).alias("tokens_std"), "tokens_max")
+    return m.select("method", F.round("f1_mean", 9).alias("f1_mean"), F.round("f1_std", 9).alias("f1_std"), F.round("tokens_mean", 6).alias("tokens_mean"), F.round("tokens_std", 6).alias("tokens_std"), "tokens_max", "tokens_sum")
 
 
 @query("""SELECT i.conv_id AS instance_id FROM (SELECT DISTINCT conv_id FROM conversations) i WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE conv_id % 4 = 0) ORDER BY conv_id LIMIT 20""")
@@ -571,24 +602,42 @@ def search_end_to_end(spark, sf):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder where checkpoints go; a temporary one only where the session names none."""
+    """A new folder where checkpoints go; only a local session that names none gets a temporary one."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/corvane-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or f'file://{tempfile.gettempdir()}').rstrip('/')}/corvane-{uuid.uuid4().hex}"
 
 
-@query()
+@query(ORACLES["debounce_sessions"])
 def streaming_incremental(spark, sf):
-    """K01 as a stream: session windows over the events, with a watermark, in one pass over what is there."""
+    """K01 as a stream: session windows over the events, with a watermark; equal to the batch form, open sessions included."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    name = "debounced_" + str(abs(hash(sf)) % 10**8)
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = tracker.debounce_stream(stream, "user_id", "ts", "1 hour", "0 seconds")
-    q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{_scratch(spark)}/stream").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    return tracker.run_debounce(spark, stream, "user_id", "ts", "1 hour", _scratch(spark))
+
+
+@query("""WITH e AS (SELECT user_id % 50 AS codebase, CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'f' || (event_id % 40) END AS path, event_id AS version FROM events),
+c AS (SELECT codebase, max(version) AS version, max(version) - 200 AS seen FROM e GROUP BY codebase), a AS (SELECT e.codebase, path FROM e JOIN c USING (codebase) WHERE e.version > seen)
+SELECT c.codebase, CASE WHEN bool_or(path IS NULL) THEN 'unknown' ELSE 'dirty' END AS status, CASE WHEN bool_or(path IS NULL) THEN 0 ELSE count(DISTINCT path) END AS dirty_paths, c.version FROM c JOIN a USING (codebase) GROUP BY c.codebase, c.version""")
+def streaming_dirty_state(spark, sf):
+    """K02-K04 as a stream with state: file events and a sync that has seen all but the last 200 versions of each codebase, in two micro-batches."""
+    root = _scratch(spark)
+    e = _file_events(spark, sf)
+    e.write.parquet(f"{root}/events")
+    stream = lambda: spark.readStream.schema(e.schema).parquet(f"{root}/events")
+
+    def run():
+        q = tracker.dirty_stream(stream()).writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{root}/states"))
+        q.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    e.groupBy("codebase").agg((F.max("version") - 200).alias("version")).select("codebase", F.lit(None).cast("string").alias("path"), F.lit(tracker.CLEAN).alias("kind"), "version").write.mode("append").parquet(f"{root}/events")
+    run()
+    return catalog.latest(spark.read.parquet(f"{root}/states"), ["codebase"], ["batch"]).drop("batch")
 
 
 @query("""SELECT 'src/' || source || '/unit' || doc_id || '.ts' AS relative_path, ['Shape' || doc_id, 'make' || (doc_id % 9)] AS names FROM documents""")
@@ -602,11 +651,14 @@ def definition_identifiers(spark, sf):
 
 @query("""WITH e AS (SELECT user_id % 50 AS codebase, CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'f' || (event_id % 40) END AS path, event_id % 97 = 0 AS unknown FROM events),
 s AS (SELECT codebase, CASE WHEN bool_or(unknown) THEN 'unknown' ELSE 'dirty' END AS status FROM e GROUP BY codebase)
-SELECT codebase, CASE WHEN codebase % 2 = 0 THEN 'sync' WHEN status = 'unknown' THEN 'serve_and_queue' ELSE 'targeted_sync' END AS action FROM s""")
+SELECT codebase, minutes, CASE WHEN codebase % 2 = 0 AND status <> 'clean' THEN 'sync' WHEN status = 'unknown' THEN 'serve_and_queue' WHEN status = 'dirty' THEN 'targeted_sync' WHEN minutes >= 10 THEN 'serve_and_queue' ELSE 'serve' END AS action
+FROM (SELECT codebase, CASE WHEN codebase % 3 = 0 THEN 'clean' ELSE status END AS status FROM s), (SELECT unnest([3, 9, 10, 25]) AS minutes)""")
 def sync_policy(spark, sf):
-    """What a search does first, strong for even codebases."""
-    s = tracker.dirty_state(_file_events(spark, sf))
-    return s.select("codebase", tracker.decide(F.col("status"), F.col("codebase") % 2 == 0, F.lit(3)).alias("action"))
+    """What a search does first, strong for even codebases, every third codebase clean, at several ages of the last full scan."""
+    e = _file_events(spark, sf)
+    done = e.filter("codebase % 3 = 0").groupBy("codebase").agg(F.max("version").alias("version")).select("codebase", F.lit(None).cast("string").alias("path"), F.lit(tracker.CLEAN).alias("kind"), "version")
+    s = tracker.dirty_state(e.unionByName(done)).withColumn("minutes", F.explode(F.array(*[F.lit(m) for m in (3, 9, 10, 25)])))
+    return s.select("codebase", "minutes", tracker.decide(F.col("status"), F.col("codebase") % 2 == 0, F.col("minutes")).alias("action"))
 
 
 @query("""WITH o AS (SELECT relative_path, row_number() OVER (ORDER BY relative_path, chunk_index) AS place FROM (SELECT source AS relative_path, doc_id AS chunk_index FROM documents))
@@ -640,3 +692,117 @@ def merkle_compare(spark, sf):
     """Set differences of node ids."""
     o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     return incremental.merkle_changes(o.filter("id % 3 <> 2"), o.filter("id % 3 <> 0"))
+
+
+# Catalog and evaluation over small tables of the test data.
+@query("""WITH s AS (SELECT o_orderkey % 6 AS score, o_orderkey % 4 AS n, o_orderkey % 7 <> 0 AS valid FROM orders)
+SELECT CASE WHEN NOT valid THEN 'invalid_fixture' WHEN n = 0 THEN 'empty_result' WHEN score < 3 THEN 'search_miss' ELSE 'expected_hit' END AS kind, count(*) AS cases FROM s GROUP BY 1""")
+def failure_taxonomy(spark, sf):
+    """Cases by kind of failure."""
+    k = F.col("o_orderkey")
+    return t(spark, sf, "orders").groupBy(evaluation.taxonomy(k % 6, k % 4, k % 7 != 0).alias("kind")).agg(F.count("*").alias("cases"))
+
+
+@query("""WITH c AS (SELECT o_orderkey % 9 AS rank, o_orderkey % 2 = 0 AS test_first, o_orderkey % 5 = 0 AS barrel_first FROM orders)
+SELECT count(*) FILTER (rank <= 3) AS top3, count(*) FILTER (rank <= 5) AS top5, round(avg(CAST(test_first AS DOUBLE)), 9) AS test_first, round(avg(CAST(barrel_first AS DOUBLE)), 9) AS barrel_first FROM c""")
+def quality_summary(spark, sf):
+    """F13, M06."""
+    k = F.col("o_orderkey")
+    s = evaluation.quality_summary(t(spark, sf, "orders").select((k % 9).alias("rank"), (k % 2 == 0).alias("test_first"), (k % 5 == 0).alias("barrel_first")))
+    return s.select("top3", "top5", F.round("test_first", 9).alias("test_first"), F.round("barrel_first", 9).alias("barrel_first"))
+
+
+@query("""SELECT CAST(sum(o_orderkey % 5) AS BIGINT) AS added, CAST(sum(o_orderkey % 3) AS BIGINT) AS removed, CAST(sum(o_orderkey % 2) AS BIGINT) AS modified, count(*) FILTER (o_orderkey % 11 = 0) AS warnings FROM orders""")
+def sync_totals(spark, sf):
+    """F08."""
+    k = F.col("o_orderkey")
+    return catalog.sync_totals(t(spark, sf, "orders").select((k % 5).alias("added"), (k % 3).alias("removed"), (k % 2).alias("modified"), F.when(k % 11 == 0, F.lit("w")).alias("warning")))
+
+
+def _catalog(spark, sf):
+    """(catalog, collections, manifests) from customers and suppliers: some collections missing, empty or of unknown size."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    name = F.concat(F.lit("k"), (k % 20).cast("string"))
+    cat = t(spark, sf, "customer").select(F.concat(F.lit("p"), k.cast("string")).alias("path"), name.alias("collection_name"), F.concat(F.lit("d"), k.cast("string")).alias("derived_name"), (k % 3).alias("files"), (k % 3 * 2).alias("chunks"))
+    numbers = spark.range(20).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("collection_name"), F.col("id"))
+    col = numbers.filter("id % 4 <> 1").select("collection_name", F.when(F.col("id") % 5 != 2, F.col("id") % 3).alias("row_count"))
+    man = numbers.filter("id % 3 <> 0").select("collection_name", (F.col("id") % 2).alias("files"), (F.col("id") % 2 * 2).alias("chunks"))
+    return cat, col, man
+
+
+CATALOG_SQL = """WITH cat AS (SELECT 'p' || c_custkey AS path, 'k' || (c_custkey % 20) AS collection_name, 'd' || c_custkey AS derived_name, c_custkey % 3 AS files, c_custkey % 3 * 2 AS chunks FROM customer),
+n AS (SELECT 'k' || i AS collection_name, i FROM (SELECT unnest(range(20)) AS i)), col AS (SELECT collection_name, CASE WHEN i % 5 <> 2 THEN i % 3 END AS row_count FROM n WHERE i % 4 <> 1),
+man AS (SELECT collection_name, i % 2 AS m_files, i % 2 * 2 AS m_chunks FROM n WHERE i % 3 <> 0),
+j AS (SELECT cat.*, col.collection_name IS NOT NULL AS there, row_count, man.collection_name IS NOT NULL AS listed, m_files, m_chunks FROM cat LEFT JOIN col USING (collection_name) LEFT JOIN man USING (collection_name))
+"""
+
+
+@query(CATALOG_SQL + """SELECT path, CASE WHEN NOT there THEN 'remove' WHEN row_count IS NULL THEN 'skip' WHEN row_count = 0 THEN 'remove' WHEN listed THEN 'overwrite' ELSE 'skip' END AS action FROM j WHERE files = 0 AND chunks = 0""")
+def heal_catalog(spark, sf):
+    """E19."""
+    return catalog.heal(*_catalog(spark, sf))
+
+
+@query(CATALOG_SQL + """SELECT path, list_filter([CASE WHEN NOT there THEN 'collection is missing' END, CASE WHEN there AND row_count IS NULL THEN 'row count unknown' END, CASE WHEN row_count = 0 THEN 'collection is empty' END,
+ CASE WHEN NOT listed THEN 'no manifest' END, CASE WHEN m_chunks <> chunks THEN 'chunks differ from the manifest' END, CASE WHEN m_files <> files THEN 'files differ from the manifest' END], lambda w: w IS NOT NULL) AS warnings FROM j""")
+def status_diagnostics(spark, sf):
+    """E16."""
+    return catalog.diagnose(*_catalog(spark, sf))
+
+
+@query(CATALOG_SQL + """, t AS (SELECT 'k' || i AS target FROM (SELECT unnest(range(25)) AS i) UNION ALL SELECT 'p' || c_custkey FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT 'd' || c_custkey FROM customer WHERE c_custkey % 9 = 0)
+SELECT DISTINCT target, collection_name FROM t JOIN cat ON target = collection_name OR target = path OR target = derived_name""")
+def resolve_targets(spark, sf):
+    """By collection, path or derived name."""
+    cat = _catalog(spark, sf)[0]
+    c = t(spark, sf, "customer")
+    k = F.col("c_custkey").cast("string")
+    asked = spark.range(25).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("target")).union(c.filter("c_custkey % 7 = 0").select(F.concat(F.lit("p"), k))).union(c.filter("c_custkey % 9 = 0").select(F.concat(F.lit("d"), k)))
+    return catalog.resolve_target(asked, cat)
+
+
+@query("""WITH s AS (SELECT o_orderkey AS k, o_orderkey % 10 AS size, o_orderkey % 4 AS age, CASE WHEN o_orderkey % 6 <> 0 THEN 1 END AS lines FROM orders)
+SELECT 'f' || k AS relative_path, k % 5 <> 0 AND age <> 3 AND lines IS NOT NULL AND k % 8 <> 1 AS reuse FROM s""")
+def hash_reuse(spark, sf):
+    """Files with the size and time of the last state need no new hash."""
+    o = t(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    path = F.concat(F.lit("f"), k.cast("string")).alias("relative_path")
+    before = o.filter(k % 8 != 1).select(path, (k % 10).alias("size"), (k % 4).alias("mtime"), F.when(k % 6 != 0, 1).alias("effective_lines"))
+    now = o.select(path, F.when(k % 5 == 0, k % 10 + 1).otherwise(k % 10).alias("size"), F.when(k % 4 == 3, 9).otherwise(k % 4).alias("mtime"))
+    return incremental.changed_states(before, now)
+
+
+@query("""WITH a AS (SELECT conv_id AS id, min(turn) AS s FROM conversations GROUP BY conv_id), b AS (SELECT conv_id AS id, CAST(max(length(text)) AS BIGINT) AS s FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id),
+x AS (SELECT id, CASE WHEN max(s) OVER () > min(s) OVER () THEN (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) ELSE 1.0 END AS s1 FROM a),
+y AS (SELECT id, CASE WHEN max(s) OVER () > min(s) OVER () THEN (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) ELSE 1.0 END AS s2 FROM b),
+f AS (SELECT coalesce(x.id, y.id) AS id, round(0.3 * coalesce(s1, 0) + 0.7 * coalesce(s2, 0), 9) AS score FROM x FULL JOIN y ON x.id = y.id)
+SELECT id, score FROM f ORDER BY score DESC, id LIMIT 20""")
+def weighted_fusion(spark, sf):
+    """Two lists by their scaled scores."""
+    c = t(spark, sf, "conversations")
+    one = lambda df, s: df.groupBy(F.col("conv_id").alias("id")).agg(s.cast("double").alias("score")).withColumn("query_id", F.lit("q"))
+    both = retrieval.weighted(one(c, F.min("turn")), one(c.filter("conv_id % 3 <> 0"), F.max(F.char_length("text"))), 10**6, (0.3, 0.7))
+    return both.select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+
+
+@query(f"""WITH v AS ({VFILES}), q AS (SELECT unnest(['doc_7.md', 'src1/de', 'de/DOC_12.md', './en/doc_3.md', 'nothing.md']) AS name), w AS (SELECT name, lower(regexp_replace(name, '^(\./)+', '')) AS wanted FROM q)
+SELECT name, relative_path FROM v JOIN w ON lower(relative_path) = wanted OR ends_with(lower(relative_path), '/' || wanted)""")
+def exact_files(spark, sf):
+    """Files that a name or path asks for exactly."""
+    from corvane.sources.files import exact_file
+
+    return exact_file(vfiles(spark, sf), spark.createDataFrame([(n,) for n in ("doc_7.md", "src1/de", "de/DOC_12.md", "./en/doc_3.md", "nothing.md")], "name string"))
+
+
+@query("""WITH e AS (SELECT conv_id % 7 AS case_id, 'Unit' || (conv_id % 30) AS symbol, CASE turn % 3 WHEN 0 THEN 'definition' WHEN 1 THEN 'import' ELSE 'reference' END AS kind, 'a/unit_' || (conv_id % 30) || '.ts' AS own, 'a/other' || (conv_id % 30) || '.ts' AS other FROM conversations),
+f AS (SELECT case_id, symbol, CASE WHEN kind = 'definition' THEN own WHEN kind = 'import' THEN other END AS path FROM e), w AS (SELECT i AS case_id, unnest(['a/unit_' || (i * 3) || '.ts', 'a/other' || (i * 2) || '.ts', 'a/unit_' || i || '.ts']) AS path FROM (SELECT unnest(range(7)) AS i))
+SELECT DISTINCT case_id, path FROM f JOIN w USING (case_id, path) WHERE contains(regexp_replace(regexp_extract(path, '([^/]*)\.ts$', 1), '[^A-Za-z0-9]', '', 'g'), lower(symbol))""")
+def trace_coverage(spark, sf):
+    """Expected paths that trace evidence names."""
+    c, k = t(spark, sf, "conversations"), (F.col("conv_id") % 30).cast("string")
+    own, other = F.concat(F.lit("a/unit_"), k, F.lit(".ts")), F.concat(F.lit("a/other"), k, F.lit(".ts"))
+    kind = F.when(F.col("turn") % 3 == 0, "definition").when(F.col("turn") % 3 == 1, "import").otherwise("reference")
+    evidence = c.select((F.col("conv_id") % 7).alias("case_id"), F.concat(F.lit("Unit"), k).alias("symbol"), kind.alias("kind"), own.alias("relative_path"), other.alias("resolved_path"))
+    cases = spark.createDataFrame([(i, [f"a/unit_{i * 3}.ts", f"a/other{i * 2}.ts"], [f"a/unit_{i}.ts"]) for i in range(7)], "case_id long, primary array<string>, acceptable array<string>")
+    return evaluation.covered_by_trace(evidence, cases)

@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -14,6 +15,7 @@ from corvane.functions.paths import depth, supported
 from corvane.sources.ignore import DEFAULT_PATTERNS, IGNORE_FILES, clean_patterns, compile_rules, ignored, ignored_path, scoped
 
 MAX_BYTES = 128 << 20
+LIST_KEYS = ["customExtensions", "customIgnorePatterns", "projectWatcherIgnoredDirs"]
 SCHEMA = "relative_path string, size long, mtime timestamp, content string, error string"
 
 
@@ -140,6 +142,44 @@ def read_jsonl(spark: SparkSession, path: str, keys: list[str], schema: str) ->
     return best.select(*keys, "x.*")
 
 
+def append_jsonl(rows: DataFrame, path: str) -> None:
+    """Add rows to a folder of JSON lines, nulls included."""
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """Replace a report: one JSON file in the folder. For summaries, which are small by what they are."""
+    rows.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_config(spark: SparkSession, *paths: str) -> dict[str, str | list[str]]:
+    """key = value files, later ones over earlier ones; keys of LIST_KEYS may repeat within a file and give lists. Missing files count as empty."""
+    out: dict[str, str | list[str]] = {}
+    for path in paths:
+        own: dict[str, str | list[str]] = {}
+        try:
+            text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+        except AnalysisException:
+            continue
+        for line in (raw.strip() for raw in text.splitlines()):
+            key, sep, value = (x.strip() for x in line.partition("="))
+            if sep and key and not line.startswith("#"):
+                if key in LIST_KEYS:
+                    own.setdefault(key, []).append(value)
+                else:
+                    own[key] = value
+        out |= own
+    return out
+
+
+def exact_file(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """(name, relative_path) of the files that a name or path asks for exactly: a path by itself or as an ending, a name by the file's name."""
+    last = F.lower(F.substring_index("relative_path", "/", -1))
+    f = files.select("relative_path", F.lower("relative_path").alias("low"), last.alias("last")).distinct()
+    q = asked.select("name").distinct().withColumn("wanted", F.lower(F.regexp_replace(F.regexp_replace("name", r"\\", "/"), r"^(\./)+", ""))).withColumn("last", F.substring_index("wanted", "/", -1))
+    return f.join(q, "last").filter((F.col("low") == F.col("wanted")) | F.col("low").endswith(F.concat(F.lit("/"), "wanted"))).select("name", "relative_path")
+
+
 def read_dataset(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Instances from JSON documents (one array or one object a file) or JSON lines, all splits together."""
     return reduce(DataFrame.unionByName, [spark.read.schema(schema).option("multiLine", not p.endswith(".jsonl")).json(p) for p in paths])

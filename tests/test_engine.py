@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corvane.engine import Engine, collection_name, identity
 from corvane.operators import catalog, chunking, evaluation, incremental, ranking, retrieval, trace
-from corvane.sources.files import directory, preview, read_tree, select_files
+from corvane.sources.files import append_jsonl, directory, preview, read_config, read_dataset, read_jsonl, read_lines, read_tree, select_files, write_report
 from corvane.sources.index_store import IndexStore, WriterConflict
 from corvane.streaming import tracker
 
@@ -32,12 +32,71 @@ def test_index_search_reindex_clear(spark, files, tmp_path):
     assert {r.id for r in e.store.read("c").select("id").collect()} == rebuilt
     big = changed.union(spark.createDataFrame([("big.py", "\n".join(f"x{i} = {i}" for i in range(6000)))], files.schema))
     assert e.reindex("c", big, automatic=True)["status"] == "refused" and e.status("c")["manifest"]["generation"] == 2
+    part = spark.createDataFrame([("pkg/mod.py", FILES[4][1])], files.schema)
+    out = e.reindex_paths("c", ["./pkg/mod.py", "docs/guide.md", "../out.py"], part)
+    assert (out["added"], out["removed"], out["modified"]) == (1, 1, 0) and {r.relative_path for r in e.states.read("c").collect()} == {"src/shape.ts", "src/use.ts", "src/tests/shape.test.ts", "pkg/mod.py"}
+    posted = e.posted.read("c")
+    assert {r.relative_path for r in posted.select("relative_path").distinct().collect()} == {r.relative_path for r in e.store.read("c").select("relative_path").distinct().collect()}
+    tests = e.search("c", "tests of Shape", 5).orderBy("rank").collect()
+    assert [r.is_primary for r in tests if r.file_role == "test"] == [True] and e.search("c", "Shape", 5, threshold=2.0, weights=(0.5, 0.5), include_related=False).filter("file_role <> 'implementation'").count() == 0
     shown = e.context(e.store.read("c").filter("relative_path = 'src/shape.ts'"), changed).first()
     assert "class Shape" in shown.context
     e.clear("c")
     assert not e.has("c")
 
 
+def test_reindex_tree_reuses_hashes(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    for name in ("a", "b", "c"):
+        (tmp_path / "src" / f"{name}.py").write_text(f"def {name}():\n    return 1\n")
+    e = Engine(spark, str(tmp_path / "index"))
+    e.index_tree("t", str(tmp_path / "src"), extensions=[".py"])
+    (tmp_path / "src" / "b.py").write_text("def b():\n    return 2\n\n\ndef more():\n    pass\n")
+    (tmp_path / "src" / "c.py").unlink()
+    out = e.reindex_tree("t", str(tmp_path / "src"), extensions=[".py"])
+    assert (out["added"], out["removed"], out["modified"], out["growth"]) == (0, 1, 1, 2)
+    assert {(r.relative_path, r.primary_symbol) for r in e.store.read("t").collect()} == {("a.py", "a"), ("b.py", "b"), ("b.py", "more")}
+
+
+def test_capped_index(spark, files, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    assert e.index("c", files, cap=3)["status"] == "limit_reached" and e.store.row_count("c") == 3 and e.posted.read("c").select("id").distinct().count() <= 3
+
+
+def test_barrels_and_sinks(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "i"))
+    rows = spark.createDataFrame([("pkg/index.ts", 'export * from "./a"\n'), ("lib/index.ts", "export function f() {\n  return 1\n}\n")], "relative_path string, content string")
+    assert {r.relative_path: r.file_role for r in e.chunks(rows).collect()} == {"pkg/index.ts": "barrel", "lib/index.ts": "implementation"}
+    append_jsonl(spark.createDataFrame([("a", 1), ("b", None)], "k string, v int"), str(tmp_path / "log"))
+    append_jsonl(spark.createDataFrame([("a", 2)], "k string, v int"), str(tmp_path / "log"))
+    (tmp_path / "log" / "z.json").write_text('{"k": "b"\n')
+    assert sorted((r.k, r.v is None) for r in read_jsonl(spark, str(tmp_path / "log"), ["k"], "k string, v int").collect()) == [("a", False), ("b", True)]
+    write_report(spark.range(2), str(tmp_path / "report"))
+    write_report(spark.range(1), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 1
+    (tmp_path / "g.conf").write_text("# all\nhybridMode = true\ncustomExtensions = .x\ncustomExtensions = .y\nsearchTimeoutMs=5\n")
+    (tmp_path / "p.conf").write_text("searchTimeoutMs = 9\ncustomExtensions = .z\n")
+    assert read_config(spark, str(tmp_path / "g.conf"), str(tmp_path / "none.conf"), str(tmp_path / "p.conf")) == {"hybridMode": "true", "customExtensions": [".z"], "searchTimeoutMs": "9"}
+    (tmp_path / "one.json").write_text('[{"instance_id": "a", "patch": "--- a/x.py"}]')
+    (tmp_path / "two.jsonl").write_text('{"instance_id": "b", "patch": "--- a/y.py\\n--- a/z.py"}\n')
+    data = read_dataset(spark, [str(tmp_path / "one.json"), str(tmp_path / "two.jsonl")], "instance_id string, patch string").withColumn("difficulty", F.lit("easy"))
+    assert data.count() == 2 and [r.instance_id for r in evaluation.subset(data, "easy").collect()] == ["b"]
+    assert read_lines(rows, 1, 1).filter("relative_path like 'lib%'").first().content == "  return 1"
+    assert spark.range(1).select(evaluation.reduction_percent(F.lit(25), F.lit(100))).first()[0] == 75.0
+
+
+def test_periodic_sync(spark, tmp_path):
+    import time
+
+    seen = []
+    q = tracker.periodic_sync(spark, lambda name: seen.append(name), lambda: ["a", "b", "a"], str(tmp_path / "ck"), "1 second")
+    until = time.time() + 60
+    while len(seen) < 4 and time.time() < until:
+        time.sleep(0.2)
+    q.stop()
+    assert seen.count("a") >= 2 and abs(seen.count("a") - seen.count("b")) <= 1
+
+
 def test_names():
     assert identity("git", "git@host.org:a/b.git") == identity("git", "https://host.org/a/b") == "host.org/a/b"
     assert collection_name("x").startswith("hybrid_code_chunks_") and len(collection_name("x", "y" * 400)) == 255

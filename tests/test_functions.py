@@ -91,7 +91,7 @@ def test_structure_and_owner(spark):
     df = spark.createDataFrame(rows, "p string, c string, r string, why array<string>, s double")
     got = values(spark, rows, df.schema, structure_score(F.col("r"), F.col("p"), F.col("c"), F.col("why"), q))
     assert got == [140 + 90 + 32 + 8 + 60, -140 - 20, -80 + 90 + 32 + 60, 0]
-    assert values(spark, rows, df.schema, names_path(F.col("p"), q)) == [True, False, False, False]
+    assert values(spark, rows, df.schema, names_path(F.col("p"), q)) == [True, True, False, False]
     assert values(spark, rows, df.schema, owner_signal(F.col("why"), F.col("s"), F.col("c"), F.col("p"), q)) == [1, 1, 0, 2]
 
 
