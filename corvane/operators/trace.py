@@ -14,6 +14,7 @@ MODIFIERS = "public|private|protected|static|readonly|async|override|abstract"
 MODULE_EXTENSIONS = list(dict.fromkeys([*SUPPORTED_EXTENSIONS, ".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs"]))
 
 
+# How a symbol is defined.
 def definition_pattern(symbol: str) -> str:
     s = re.escape(symbol)
     return "|".join([rf"\b(class|interface|function|type|enum|const|let|var)\s+{s}\b", rf"^\s*(({MODIFIERS})\s+)*{s}\s*\(", rf"\bdef\s+{s}\s*\(",
@@ -49,20 +50,23 @@ def symbol_lines(files: DataFrame, symbol: str) -> DataFrame:
                        F.when(F.col("is_import") | F.col("is_export"), module).alias("module_specifier"), call.alias("call_target"))
 
 
-def evidence_rows(lines: DataFrame, max_references: int = 40, start: str | None = None) -> DataFrame:
+def evidence_rows(lines: DataFrame, max_references: int = 40, start: str | None = None, span: tuple[int, int] | None = None) -> DataFrame:
     """One row a line and kind: definition, import, export, reference, related_test; at most max_references of a kind (200 at most).
 
-    References are ordered by the start path, call target, caller, path and line, all others by path and line.
+    References are ordered by the span of lines in the start path, the start path, call target, caller (where `lines`
+    has enclosing_symbol), path and line, all others by the start path, path and line.
     """
     cap = max(1, min(max_references, 200))
     plain = ~F.col("is_definition") & ~F.col("is_import") & ~F.col("is_export") & ~F.col("is_comment") & F.col("matched").isNotNull()
     kinds = F.array_compact(F.array(F.when(F.col("is_definition"), F.lit("definition")), F.when(F.col("is_import"), F.lit("import")), F.when(F.col("is_export"), F.lit("export")),
                                     F.when(plain, F.lit("reference")), F.when((F.col("file_role") == "test") & F.col("matched").isNotNull(), F.lit("related_test"))))
     rows = lines.withColumn("kind", F.explode(kinds))
-    near = F.when(F.col("relative_path") == F.lit(start or ""), 0).otherwise(1)
-    called = F.when(F.col("kind") == "reference", F.when(F.col("call_target").isNull(), 1).otherwise(0)).otherwise(0)
-    w = Window.partitionBy("kind").orderBy(near, called, "relative_path", "line")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap).select("kind", "rank", "relative_path", "line", "preview", "matched", "call_target", "module_specifier")
+    here = F.col("relative_path") == F.lit(start or "")
+    inside = here & F.col("line").between(*span) if span else F.lit(False)
+    of_reference = lambda holds: F.when((F.col("kind") == "reference") & ~holds, 1).otherwise(0)
+    caller = ["enclosing_symbol"] if "enclosing_symbol" in lines.columns else []
+    w = Window.partitionBy("kind").orderBy(of_reference(inside), F.when(here, 0).otherwise(1), of_reference(F.col("call_target").isNotNull()), *[of_reference(F.col(c).isNotNull()) for c in caller], "relative_path", "line")
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap).select("kind", "rank", "relative_path", "line", "preview", "matched", "call_target", "module_specifier", *caller)
 
 
 def resolve_imports(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -110,9 +114,9 @@ def enclosing_symbols(files: DataFrame) -> DataFrame:
     return files.select("relative_path", "content").mapInPandas(scan, "relative_path string, line int, enclosing_symbol string")
 
 
-def trace_symbol(files: DataFrame, symbol: str, max_references: int = 40, start: str | None = None) -> DataFrame:
+def trace_symbol(files: DataFrame, symbol: str, max_references: int = 40, start: str | None = None, span: tuple[int, int] | None = None) -> DataFrame:
     """Evidence rows with enclosing symbol and resolved path."""
     lines = symbol_lines(files, symbol)
     holds = files.filter(F.contains("content", F.lit(symbol)))
-    out = evidence_rows(lines, max_references, start).join(enclosing_symbols(holds), ["relative_path", "line"], "left")
+    out = evidence_rows(lines.join(enclosing_symbols(holds), ["relative_path", "line"], "left"), max_references, start, span)
     return out.join(resolve_imports(lines, files), ["relative_path", "line", "module_specifier"], "left")

@@ -787,7 +787,7 @@ def weighted_fusion(spark, sf):
     return both.select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
-@query(f"""WITH v AS ({VFILES}), q AS (SELECT unnest(['doc_7.md', 'src1/de', 'de/DOC_12.md', './en/doc_3.md', 'nothing.md']) AS name), w AS (SELECT name, lower(regexp_replace(name, '^(\./)+', '')) AS wanted FROM q)
+@query(f"""WITH v AS ({VFILES}), q AS (SELECT unnest(['doc_7.md', 'src1/de', 'de/DOC_12.md', './en/doc_3.md', 'nothing.md']) AS name), w AS (SELECT name, lower(regexp_replace(name, '^([.]/)+', '')) AS wanted FROM q)
 SELECT name, relative_path FROM v JOIN w ON lower(relative_path) = wanted OR ends_with(lower(relative_path), '/' || wanted)""")
 def exact_files(spark, sf):
     """Files that a name or path asks for exactly."""
@@ -798,7 +798,7 @@ def exact_files(spark, sf):
 
 @query("""WITH e AS (SELECT conv_id % 7 AS case_id, 'Unit' || (conv_id % 30) AS symbol, CASE turn % 3 WHEN 0 THEN 'definition' WHEN 1 THEN 'import' ELSE 'reference' END AS kind, 'a/unit_' || (conv_id % 30) || '.ts' AS own, 'a/other' || (conv_id % 30) || '.ts' AS other FROM conversations),
 f AS (SELECT case_id, symbol, CASE WHEN kind = 'definition' THEN own WHEN kind = 'import' THEN other END AS path FROM e), w AS (SELECT i AS case_id, unnest(['a/unit_' || (i * 3) || '.ts', 'a/other' || (i * 2) || '.ts', 'a/unit_' || i || '.ts']) AS path FROM (SELECT unnest(range(7)) AS i))
-SELECT DISTINCT case_id, path FROM f JOIN w USING (case_id, path) WHERE contains(regexp_replace(regexp_extract(path, '([^/]*)\.ts$', 1), '[^A-Za-z0-9]', '', 'g'), lower(symbol))""")
+SELECT DISTINCT case_id, path FROM f JOIN w USING (case_id, path) WHERE contains(regexp_replace(regexp_extract(path, '([^/]*)[.]ts$', 1), '[^A-Za-z0-9]', '', 'g'), lower(symbol))""")
 def trace_coverage(spark, sf):
     """Expected paths that trace evidence names."""
     c, k = t(spark, sf, "conversations"), (F.col("conv_id") % 30).cast("string")

@@ -129,6 +129,9 @@ def test_trace(spark, files):
     assert got["reference", "src/use.ts", 4].enclosing_symbol == "make" and ("related_test", "src/tests/shape.test.ts", 4) in got
     with pytest.raises(ValueError):
         trace.symbol_lines(files, "no good")
+    rows = spark.createDataFrame([("b.ts", "Shape;\nfunction f() {\n  Shape;\n}\n"), ("a.ts", "Shape;\n"), ("c.ts", "new Shape()\nShape;\nShape;\n"), ("d.ts", "Shape()\n")], files.schema)
+    order = lambda **o: [(r.relative_path, r.line) for r in sorted(trace.trace_symbol(rows, "Shape", **o).filter("kind = 'reference'").collect(), key=lambda r: r.rank)]
+    assert order() == [("c.ts", 1), ("b.ts", 3), ("a.ts", 1), ("b.ts", 1), ("c.ts", 2), ("c.ts", 3)] and order(start="c.ts", span=(3, 3))[:3] == [("c.ts", 3), ("c.ts", 1), ("c.ts", 2)]
 
 
 def test_dedupe_prefers_auditable(spark):
