@@ -19,7 +19,7 @@ least `percent` per cent. The search is exact:
    its children's bitmaps with their size range. A dual traversal drops pairs of tree nodes whose
    largest possible overlap is too small. The leaf pairs left are verified on whole shingle sets,
    unless they are connected by then.
-5. Components come from star rounds over the verified links.
+5. Components come from star rounds over the verified links; what a later search finds is added between components.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.components import components
+from corvane.llm.components import components, joined
 from corvane.llm.hashing import shingle_sets, slices, text_buffers
 from corvane.llm.shared import discard, materialise, unused_name
 
@@ -428,16 +428,15 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                .filter("b < hi").drop("hi").join(members, "id").filter("node <> b").select(F.col("node").alias("a"), "b"))
     blocks, blocks_path = materialise(paired.union(merged.select("block", "node", "n")).distinct()
                                       .withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("block")) / PART)), "ngram-blocks")
-    links, links_path = materialise(same_id, "ngram-links")
-    paths = [scan_path, shared_path, blocks_path, links_path]
+    comp, comp_path = materialise(components(same_id), "ngram-comp")
+    paths = [scan_path, shared_path, blocks_path, comp_path]
     for mode in ("own", "few", "all"):
-        comp, comp_path = materialise(components(links), "ngram-comp")
         parts, parts_path = materialise(_part_rows(blocks, comp, percent, mode), "ngram-parts")
         spans = (parts.join(_texts(parts.select("node").distinct(), scan), "node").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
                  .mapInArrow(_span(k, percent), "a long, b long"))
-        links, links_path = materialise(links.union(spans), "ngram-links")
-        paths += [comp_path, parts_path, links_path]
-    comp = components(links)
+        links, links_path = materialise(spans, "ngram-links")
+        comp, comp_path = materialise(joined(comp, links), "ngram-comp")
+        paths += [parts_path, links_path, comp_path]
 
     # component labels are digests: the answer is each component's smallest document
     named = (members.join(comp, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("c")))
