@@ -3,6 +3,7 @@
 import fractions
 import gzip
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -300,6 +301,53 @@ def test_deep_and_long_pages(spark):
     assert got[2] == "\n".join(f"a{i}\nb{i}" for i in range(3000)) and got[3] == "\n".join(f"c{i}\nd{i}" for i in range(3000))
 
 
+def plain_match(a, b):
+    """Simple tree matching cell by cell: (matched nodes, positions)."""
+    best, gain, pairs, i, j = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], {}, [], len(a), len(b)
+    for x, y in itertools.product(range(len(a)), range(len(b))):
+        if a[x][0] == b[y][0]:
+            gain[x, y] = 1 + plain_match(a[x][6], b[y][6])[0]
+        best[x + 1][y + 1] = max(best[x][y + 1], best[x + 1][y], best[x][y] + gain.get((x, y), 0))
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return best[-1][-1], pairs[::-1]
+
+
+def test_one_match_at_every_size():
+    rng = random.Random(5)
+    tree = lambda names, depth, wide: [rng.choice(names), 0, 0, 0, 0, 0, [tree(names, depth - 1, wide) for _ in range(rng.randint(0, wide) if depth else 0)]]
+    some = lambda n, names, depth, wide: [tree(names, depth, wide) for _ in range(n)]
+    for _ in range(400):
+        names = "abcdefgh"[: rng.randint(1, 8)]
+        a, b = (some(rng.randint(0, 12), names, rng.randint(0, 2), 3) for _ in "ab")
+        b = [x for x in a if rng.random() < 0.8] + b[:3] if rng.random() < 0.4 else b
+        assert html_extract.align(a, b) == plain_match(a, b)
+    for n, m, depth in ((190, 200, 1), (210, 200, 2), (450, 100, 1), (90, 600, 1)):
+        a, b = some(n, "abc", depth, 2), some(m, "abc", depth, 2)
+        assert html_extract.align(a, b) == plain_match(a, b)
+
+
+def test_notices_go_from_pages_of_any_length(spark):
+    said = lambda i, n: "".join(f"<p>{w}</p><h2>{w * 2}</h2>" for w in random.Random(i).sample(range(10**6), n))
+    note = "<div class=info>Our terms apply</div>"
+    for n in (8, 60, 100, 300):
+        rows = [(i, "http://n.org/", f"<article><table><tr><td>t{i}</table>{note}{said(i, n + 3)}</article>" if i % 2 else f"<article>{note}{said(i, n + n // 2)}<table><tr><td>t{i}</table>{said(i + 50, n)}</article>") for i in range(6)]
+        trees = [html_extract.parse(h) for _, _, h in rows]
+        for order in ([0, 1, 2, 3, 4, 5], [5, 3, 1, 4, 2, 0], [1, 0, 2, 4, 3, 5]):
+            t = html_extract.fold(trees[order[0]])
+            for i in order[1:]:
+                t = html_extract.merge(t, html_extract.fold(trees[i]))
+            assert not [i for i in order if "terms" in html_extract.text_of(html_extract.parse(rows[i][2]), t)], (n, order)
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(f"t{i}" in got[i].split("\n") and "terms" not in got[i] for i in range(6))
+
+
 def test_unique_ids_and_classes_do_not_grow_the_template():
     page = lambda i: html_extract.parse(f"<body><div id=menu-{i}>m</div><article id=a{i} class='post-{i}'>" + "".join(f"<p id=p{i}x{j}>{i}</p><h2 class=c{i}z{j}>h</h2>" for j in range(40)) + "</article></body>")
     t = html_extract.fold(page(0))
