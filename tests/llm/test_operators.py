@@ -358,6 +358,25 @@ def test_unique_ids_and_classes_do_not_grow_the_template():
     assert sizes[-1] < 2 * sizes[0] and "menu" in json.dumps(t)
 
 
+def test_templates_lose_no_node(spark):
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    own = lambda i, n: "".join(f"<p class=own{letters(i * n + j)}>{i} says {j}</p>" for j in range(n))
+    box = lambda said: f"<div class=box>{said}</div>"
+    page = lambda i, middle: f"<body><article>{middle}{own(i, 40)}<h4>end {i}</h4></article></body>"
+    pages = [page(0, box("Told once"))] + [page(i, "") for i in range(1, 60)] + [page(i, box("Our terms")) for i in range(60, 140)]
+    t = html_extract.fold(html_extract.parse(pages[0]))
+    for h in pages[1:]:
+        t = html_extract.merge(t, html_extract.fold(html_extract.parse(h)))
+    kids = t[6][0][6][0][6]
+    assert len(kids) == 140 * 40 + 2 and [k[2] for k in kids if k[0] == "div.box"] == [81]
+    said = html_extract.text_of(html_extract.parse(pages[70]), t).split("\n")  # the box differs on one page: it is no template
+    assert said == ["Our terms", *(f"70 says {j}" for j in range(40)), "end 70"]
+    two = "<body>" + "".join(f"<section><article><p>{{0}} {w}</p></article></section>" for w in ("one", "two", "three")) + "</body>"
+    rows = [(i, "http://s.org/", two.format(i)) for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "2 one\n2 two\n2 three"
+
+
 def test_template_knows_constants():
     pages = [html_extract.parse(f"<body><div class=x><p>Same line here</p><h3>t{i}</h3><span>v{i}</span></div></body>") for i in range(4)]
     t = html_extract.fold(pages[0])
