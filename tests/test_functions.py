@@ -136,3 +136,30 @@ def test_phrases(spark):
 def test_follow_up_symbols(spark):
     text = 'import { Aa, bb as Cc, Dd as ee } from "x"\nclass Ff extends Gg implements Map {\n  hh: Ii = new Jj() as Kk\n}\nexport { Ll }'
     assert sorted(values(spark, [(text,)], "t string", T.follow_up_symbols(F.col("t")))[0]) == ["Aa", "Cc", "Dd", "Ff", "Gg", "Ii", "Jj", "Kk", "Ll"]
+
+
+def test_similar_files_share_lines_enough(spark, tmp_path):
+    """All pairs by brute force, with a line in every text, and ids that come again with other texts; what can be like nothing goes no further."""
+    import random
+
+    from corvane.operators.ranking import similar_files_lines
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(150):
+        own = [f"line {i} number {j}" for j in range(rng.randint(0, 6))]
+        rows.append(("xy"[i % 2], i // 2 if i > 100 else i, "\n".join(["in every text", *rng.sample([f"common line {j}" for j in range(12)], rng.randint(0, 5)), *own])))
+    rows += [("x", 500 + i, "\n".join(["in every text", *(f"text {i} has line {j}" for j in range(3))])) for i in range(200)]
+    df = spark.createDataFrame(rows, "relative_path string, id long, content string")
+    for least in (0.25, 0.6):
+        classes = {}
+        for path, i, text in rows:
+            if len(ls := frozenset(text.split("\n"))) >= 4:
+                classes[path, ls] = min(i, classes.get((path, ls), i))
+        want = sorted((p, i, j, len(a & b) / len(a | b)) for (p, a), i in classes.items() for (q, b), j in classes.items() if p == q and i < j and len(a & b) / len(a | b) >= least)
+        folder = f"{tmp_path}/sets-{least}"
+        members, pairs = similar_files_lines(df, least)
+        assert sorted(tuple(r) for r in pairs.collect()) == want and want
+        assert members.count() == sum(len(set(t.split("\n"))) >= 4 for _, _, t in rows)
+        assert sorted(tuple(r) for r in similar_files_lines(df, least, folder)[1].collect()) == want
+        assert not spark.read.parquet(folder).filter("node.id >= 500").count()
