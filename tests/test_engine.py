@@ -1,3 +1,5 @@
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +136,17 @@ def test_trace(spark, files):
     assert order() == [("c.ts", 1), ("b.ts", 3), ("a.ts", 1), ("b.ts", 1), ("c.ts", 2), ("c.ts", 3)] and order(start="c.ts", span=(3, 3))[:3] == [("c.ts", 3), ("c.ts", 1), ("c.ts", 2)]
 
 
+def test_trace_deals_out_no_lines(spark):
+    """Callers come with their lines, also where a path comes twice, and no line is shuffled by its path."""
+    one = 'import { Base } from "./base"\nclass A {\n  go() {\n    new Base()\n  }\n}\n'
+    files = spark.createDataFrame([("src/a.ts", one), ("src/a.ts", one.replace("class A", "class B")), ("src/base.ts", "export class Base {}\r\n"), ("src/none.ts", None)], "relative_path string, content string")
+    df = trace.trace_symbol(files, "Base")
+    got = sorted((r.kind, r.relative_path, r.line, r.enclosing_symbol, r.resolved_path) for r in df.collect() if r.kind in ("import", "reference"))
+    assert [g[:3] + g[4:] for g in got] == [("import", "src/a.ts", 1, "src/base.ts")] * 2 + [("reference", "src/a.ts", 4, None)] * 2
+    assert [g[3] for g in got] == [None, None, "A.go", "B.go"]
+    assert not re.search(r"hashpartitioning\(relative_path#\d+, line#\d+, \d", df._jdf.queryExecution().executedPlan().toString())
+
+
 def test_dedupe_prefers_auditable(spark):
     body = "\n".join(f"  line number {i} of the body" for i in range(8))
     rows = [("q", 1, "a.ts", body, 2, 9, 5.0, 1, []), ("q", 2, "a.ts", "function f() {\n" + body + "\n}", 1, 10, 5.0, 2, []), ("q", 3, "b.ts", body, 2, 9, 1.0, 3, []), ("q", 4, "a.ts", "other text", 100, 101, 1.0, 4, [])]
