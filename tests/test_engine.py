@@ -65,6 +65,51 @@ def test_capped_index(spark, files, tmp_path):
     assert e.index("c", files, cap=3)["status"] == "limit_reached" and e.store.row_count("c") == 3 and e.posted.read("c").select("id").distinct().count() <= 3
 
 
+def test_only_chunks_within_the_cap_are_embedded(spark, files, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def embed(texts):
+        import os
+        import uuid
+
+        with open(os.path.join(str(seen), uuid.uuid4().hex), "w") as out:
+            out.write("x" * len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    embedded = lambda: sum(p.stat().st_size for p in seen.iterdir())
+    whole, part = Engine(spark, str(tmp_path / "whole"), embed), Engine(spark, str(tmp_path / "part"), embed)
+    assert whole.index("c", files)["status"] == "completed"
+    n, before = whole.store.row_count("c"), embedded()
+    m = part.index("c", files, cap=n - 2)
+    assert (m["status"], m["generation"]) == ("limit_reached", 1) and embedded() - before == n - 2  # as no two contents are equal
+    rows = [tuple(r) for r in whole.store.read("c").orderBy("relative_path", "chunk_index").collect()]
+    assert [tuple(r) for r in part.store.read("c").orderBy("relative_path", "chunk_index").collect()] == rows[:-2]
+    assert whole.index("c", files, cap=n)["status"] == "completed"  # exactly the cap is no excess
+    assert not list(tmp_path.glob("*/index/c/staged-*"))
+
+
+def test_cap_in_path_order(spark):
+    rows = [(None if i == 0 else f"d{i * 7919 % 101}/\u00e9{i}", j) for i in range(120) for j in range(i % 4 + 1)]
+    df = spark.createDataFrame(rows, "relative_path string, chunk_index int")
+    rows.sort(key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    for cap in (0, 1, 2, 57, 150, len(rows) - 1):
+        got = sorted(((r.relative_path, r.chunk_index) for r in chunking.capped(df, cap).collect()), key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+        assert got == rows[:cap]
+        assert chunking.cut(df, cap, gathered=1) == chunking.cut(df, cap)
+    assert chunking.cut(df, len(rows)) is None and chunking.capped(df, len(rows)).filter("status = 'completed'").count() == len(rows)
+
+
+def test_no_table_of_vectors_is_sent_to_all_tasks(spark, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.range(200).selectExpr("cast(id as string) id", "array(cast(id as float), 1f) vector", "'c' || id content", "'h' || id normalized_content_hash").write.parquet(str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i"))
+    asked = spark.createDataFrame([("q", [1.0, 2.0])], "query_id string, query_vector array<float>")
+    found = plan(retrieval.dense_topk(index, asked, 5))
+    assert "BuildRight" in found and "BuildLeft" not in found  # the queries go to the index, not the index to the queries
+    assert "Broadcast" not in plan(incremental.embed_once(index.drop("vector"), F.array(F.lit(1.0))))
+
+
 def test_barrels_and_sinks(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "i"))
     rows = spark.createDataFrame([("pkg/index.ts", 'export * from "./a"\n'), ("lib/index.ts", "export function f() {\n  return 1\n}\n")], "relative_path string, content string")
